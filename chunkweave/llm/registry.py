@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, media
+from . import bpe_codec, lang_id, media, quality
 from .base import table
 
 QUERIES: dict = {}
@@ -29,3 +29,15 @@ def op3(spark, sf_dir):
 def op8(spark, sf_dir):
     """Token ids and decoded text of every document, as digests."""
     return bpe_codec.encode_documents(table(spark, sf_dir, "documents"))
+
+
+@_query("op5_quality_classifier")
+def op5(spark, sf_dir):
+    """Quality score of every document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op9_language_id")
+def op9(spark, sf_dir):
+    """Language of every document."""
+    return lang_id.identify(table(spark, sf_dir, "documents"))
