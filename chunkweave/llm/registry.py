@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, lang_id, media, quality
+from . import bpe_codec, lang_id, media, quality, sharding, url_filter
 from .base import table
 
 QUERIES: dict = {}
@@ -41,3 +41,15 @@ def op5(spark, sf_dir):
 def op9(spark, sf_dir):
     """Language of every document."""
     return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
+@_query("op6_sharding")
+def op6(spark, sf_dir):
+    """Shard and slot of every document, law of near-equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@_query("op10_url_filters")
+def op10(spark, sf_dir):
+    """Verdict on the url of every page."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
