@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, lang_id, media, quality, sharding, url_filter
+from . import bpe_codec, decontaminate, lang_id, media, quality, sharding, url_filter
 from .base import table
 
 QUERIES: dict = {}
@@ -53,3 +53,33 @@ def op6(spark, sf_dir):
 def op10(spark, sf_dir):
     """Verdict on the url of every page."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+_OP1 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), t AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), tw AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i : i + 9], ' ') AS win
+  FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 9))) AS i FROM t WHERE len(ws) > 0)
+), sizes AS (SELECT DISTINCT n FROM tw), dw AS (
+  SELECT doc_id, i, n, array_to_string(ws[i : i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM w, sizes WHERE len(ws) >= n)
+), hits AS (
+  SELECT doc_id, i, dw.n AS n, item_id FROM dw JOIN tw USING (win, n)
+), cover AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY doc_id
+), its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(coalesce(len(ws), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
+@_query("op1_decontamination", _OP1)
+def op1(spark, sf_dir):
+    """Benchmark phrases in every document."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
