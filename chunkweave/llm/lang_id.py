@@ -130,7 +130,7 @@ class Scorer:
             return "und", 0.0
         if len(self.index) > KEPT_WORDS + len(self.known):
             self._forget()
-        if missing := set(words) - self.index.keys():
+        if missing := {w for w in words if w not in self.index}:
             self._learn(list(missing))
         total = self.rows[list(map(self.index.__getitem__, words))].sum(axis=0, dtype=np.float64) * min(1.0, EVIDENCE / len(words))
         best = int(total.argmax())
