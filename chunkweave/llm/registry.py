@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, decontaminate, lang_id, media, quality, sharding, url_filter
+from . import bpe_codec, decontaminate, lang_id, media, ngram_join, quality, sharding, url_filter
 from .base import table
 
 QUERIES: dict = {}
@@ -83,3 +83,26 @@ FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN its USING (doc_id)
 def op1(spark, sf_dir):
     """Benchmark phrases in every document."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 2))) AS i FROM w WHERE len(ws) > 0)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b USING (g) JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(na.n) + any_value(nb.n) - count(*))
+), r AS (
+  SELECT doc_id, doc_id AS c FROM n UNION SELECT p.x, r.c FROM r JOIN p ON p.y = r.doc_id
+)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(k.c, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) k USING (doc_id)
+"""
+
+
+@_query("op2_ngram_jaccard_join", _OP2)
+def op2(spark, sf_dir):
+    """Components of near-equal documents."""
+    return ngram_join.join(table(spark, sf_dir, "documents"))
