@@ -116,7 +116,7 @@ class Codec:
                     found.append(key)
             else:
                 own = self.words.findall(self.space.sub(" ", part).lower())
-                for w in set(own) - self.packed.keys():
+                for w in {w for w in own if w not in self.packed}:
                     self._keep(w, self.encode_word(self._mapped(w)))
                 found += own
         return found
