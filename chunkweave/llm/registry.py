@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, decontaminate, lang_id, media, ngram_join, quality, sharding, url_filter
+from . import bpe_codec, decontaminate, lang_id, lattice_lm, media, ngram_join, quality, sharding, token_counts, url_filter
 from .base import table
 
 QUERIES: dict = {}
@@ -106,3 +106,15 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM r G
 def op2(spark, sf_dir):
     """Components of near-equal documents."""
     return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+@_query("op4_token_counts")
+def op4(spark, sf_dir):
+    """Token counts of every document before and after redaction."""
+    return token_counts.redacted_counts(table(spark, sf_dir, "documents"))
+
+
+@_query("op7_lattice_lm")
+def op7(spark, sf_dir):
+    """Subword-lattice probability of every document."""
+    return lattice_lm.score(table(spark, sf_dir, "documents"))
