@@ -118,3 +118,11 @@ def op4(spark, sf_dir):
 def op7(spark, sf_dir):
     """Subword-lattice probability of every document."""
     return lattice_lm.score(table(spark, sf_dir, "documents"))
+
+
+@_query("pipeline")
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -1,4 +1,75 @@
-"""Corpus pipeline; its stages are added below as their operators land."""
+"""Corpus pipeline: language, quality, near duplicates, benchmark passages, then tokens.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``docs`` and only choose among its rows.  Between stages rows are written as Parquet and read again.
+
+Cases: rows whose text is null or has no letter are of no language and go; without usable labels no row is
+of bad quality; rows with a null id, which can't be told apart by id, are kept by the near-duplicate stage
+and go together if one of them is contaminated; empty tables pass through.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chunkweave.llm import base, bpe_codec, decontaminate, lang_id, ngram_join, quality
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text is in a language."""
+    model = lang_id.train(docs.where(~base.held_out(3, 1)))
+    return docs.where(lang_id.predict(F.col("text"), model, spark)["lang_pred"] != "und") if model["langs"] else docs
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality classifier, learnt from the labelled ones, calls good."""
+    model = quality.train(docs, base.table(spark, sf_dir, "labels").where(~base.held_out(4, 2)))
+    return docs.where(quality.predict(F.col("text"), model, spark) >= quality.GOOD) if model["tables"] else docs
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of near-equal texts: the one with the smallest id."""
+    found = base.stored(ngram_join.join(docs), "components").where("doc_id is not null")
+    first = F.col("doc_id") == F.col("component_id")
+    by_id = found.groupBy("doc_id").agg(F.max(first).alias("first"), F.count("*").alias("times"), (F.min("component_id") == F.max("component_id")).alias("same"), F.min("n_shingles").alias("least"))
+    kept = docs.join(by_id.where("not first").select("doc_id"), "doc_id", "left_anti")
+    # rows of one id in one component
+    again = base.stored(by_id.where("first and times > 1 and same and least > 0").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    return kept.join(again, "doc_id", "left_anti").unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a passage of the benchmark."""
+    found = decontaminate.matches(docs, base.table(spark, sf_dir, "benchmark"))
+    hit = found.where("size(spans) > 0").select(F.col("doc_id").alias("hit")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti").select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token ids and digests of each row."""
+    path = bpe_codec.default_path()
+    full = docs.select("doc_id", bpe_codec.encode(F.col("text"), path).alias("t"))
+    return full.select("doc_id", F.size("t.ids").cast("long").alias("n_tokens"), F.col("t.ids").alias("token_ids"), F.sha2("t.decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language", language),
+    ("good_quality", good_quality),
+    ("without_near_duplicates", without_near_duplicates),
+    ("without_benchmark", without_benchmark),
+    ("tokens", tokens),
+]
+
+#: SQL can express neither the language model nor the tokenizer.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = base.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = base.stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
