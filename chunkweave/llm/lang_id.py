@@ -27,8 +27,8 @@ from . import base
 PER_LANG, ENTRIES, LONGEST = 2500, 300_000, 5
 #: Words that count in full towards the score; more words than these add no more certainty.
 EVIDENCE = 20
-#: Unseen words whose evidence a worker keeps.
-KEPT_WORDS = 400_000
+#: Unseen words whose evidence a worker keeps; words and n-grams that it counts before it passes them on.
+KEPT_WORDS, FLUSH = 150_000, 100_000
 WORD = re.compile(r"[^\W\d_]+")
 RESULT = "lang_pred string, score double"
 GRAMS = "lang string, size int, gram string, n long"
@@ -40,21 +40,25 @@ def _words(text: str) -> list[str]:
 
 
 def _count(batches):
-    """Words (size 0) and n-grams of the batches' texts, counted before the shuffle."""
+    """Words (size 0) and n-grams of the batches' texts, counted before the shuffle; at most about ``FLUSH`` are held."""
+    found: Counter = Counter()
+
+    def out():
+        cols = list(zip(*found, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "size", "gram", "n"])
+
     for batch in batches:
-        found: Counter = Counter()
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for word, n in Counter(_words(text)).items():
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            for word, n in Counter(_words(text.as_py())).items():
                 found[lang, 0, word] += n
                 whole = f"^{word}$"
                 for size in range(1, LONGEST + 1):
                     for i in range(len(whole) - size + 1):
                         found[lang, size, whole[i : i + size]] += n
-        keys = list(found)
-        for i in range(0, len(keys), 50_000):
-            part = keys[i : i + 50_000]
-            cols = list(zip(*part, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array([found[k] for k in part], pa.int64())], ["lang", "size", "gram", "n"])
+            if len(found) > FLUSH:
+                yield out()
+                found.clear()
+    yield out()
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, entries: int = ENTRIES) -> dict:
@@ -145,7 +149,7 @@ def predict(text: Column, model: dict, spark) -> Column:
     @arrow_udf(RESULT)
     def run(column: pa.Array) -> pa.Array:
         scorer = base.built(key, lambda: Scorer(sent.value))
-        found = [scorer.predict(t) for t in column.to_pylist()]
+        found = [scorer.predict(t.as_py()) for t in column]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
 
     return run(text)
