@@ -61,14 +61,13 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Per Python worker: what was built from a broadcast, by the broadcast's id.
+#: Per Python worker: the newest of each kind that was built there, with its key.
 _BUILT: dict = {}
 
 
-def built(key, make):
-    """``make()`` once per Python worker and key; only the newest few are kept."""
-    if key not in _BUILT:
-        while len(_BUILT) >= 4:
-            _BUILT.pop(next(iter(_BUILT)))
-        _BUILT[key] = make()
-    return _BUILT[key]
+def built(key: tuple, make):
+    """``make()`` once per Python worker and key (kind, ...); one of a kind is kept, as workers outlive queries."""
+    if key[0] not in _BUILT or _BUILT[key[0]][0] != key:
+        _BUILT.pop(key[0], None)
+        _BUILT[key[0]] = (key, make())
+    return _BUILT[key[0]][1]
