@@ -12,6 +12,11 @@ KEY_RULE = r"^(0|[1-9]\d*)(\.(0|[1-9]\d*))*$"
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
+def at_axis(idx: Column, axis: int, f) -> Column:
+    """The index with ``f`` applied to one axis."""
+    return F.transform(idx, lambda x, i: F.when(i == axis, f(x)).otherwise(x))
+
+
 def format_key(idx: Column, separator: str = ".") -> Column:
     """Chunk key of a grid index; the empty index gives the empty key."""
     return F.concat_ws(separator, F.transform(idx, lambda x: x.cast("string")))

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import at_axis
 from ..meta import ceil_div
 from ..varray import VArray
 
@@ -84,7 +85,7 @@ def chunk_map_of(indexer: list[int], chunk: int, source_len: int) -> list[int |
 def moved(refs: DataFrame, axis: int, map_: DataFrame) -> DataFrame:
     """References whose chunk on ``axis`` goes from src to dst; one source may go to many targets."""
     m = map_.select(F.col("src").cast("bigint").alias("_src"), F.col("dst").cast("bigint").alias("_dst"))
-    return refs.join(m, F.element_at("idx", axis + 1) == F.col("_src")).withColumn("idx", F.transform("idx", lambda x, i: F.when(i == axis, F.col("_dst")).otherwise(x))).drop("_src", "_dst")
+    return refs.join(m, F.element_at("idx", axis + 1) == F.col("_src")).withColumn("idx", at_axis(F.col("idx"), axis, lambda _: F.col("_dst"))).drop("_src", "_dst")
 
 
 def reindex_axis(arr: VArray, axis: int, indexer: list[int]) -> VArray:
@@ -138,3 +139,21 @@ def coords_frame(spark: SparkSession, labels) -> DataFrame:
 
     values = np.asarray(labels)
     return spark.createDataFrame(pd.DataFrame({"pos": np.arange(len(values), dtype=np.int64), "label": values}))
+
+
+def file_order(labels: DataFrame) -> DataFrame:
+    """file, first, last, ord, overlaps of files by their coordinate: labels is (file, label). Ranks run over files, a row each."""
+    spans = labels.groupBy("file").agg(F.min("label").alias("first"), F.max("label").alias("last"))
+    order = Window.orderBy("first", "file")
+    return spans.withColumns({"ord": (F.dense_rank().over(Window.orderBy("first")) - 1).cast("bigint"), "overlaps": F.coalesce(F.lead("first").over(order) <= F.col("last"), F.lit(False))})
+
+
+def nearest(coords: DataFrame, wanted: DataFrame) -> DataFrame:
+    """label, pos of the closest coordinate (pos, label) of each wanted label: an ordered pass over both, no pairs."""
+    both = coords.select("label", F.col("pos").alias("p"), F.lit(0).alias("w")).unionByName(wanted.select("label", F.lit(None).cast("bigint").alias("p"), F.lit(1).alias("w")))
+    mine = F.when(F.col("w") == 0, F.struct("label", "p"))
+    before = F.last(mine, ignorenulls=True).over(Window.orderBy("label", "w").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(mine, ignorenulls=True).over(Window.orderBy("label", "w").rowsBetween(0, Window.unboundedFollowing))
+    found = both.withColumns({"before": before, "after": after}).where("w = 1")
+    use_after = F.col("before").isNull() | (F.col("after").isNotNull() & (F.col("after.label") - F.col("label") < F.col("label") - F.col("before.label")))
+    return found.select("label", F.when(use_after, F.col("after.p")).otherwise(F.col("before.p")).alias("pos"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..meta import ArrayMeta
 
 
@@ -62,3 +65,45 @@ def appendable(existing: ArrayMeta, new: ArrayMeta, axes: set[int]) -> None:
     combinable([existing, new])
     same_ndim([existing, new])
     same_shape_except([existing, new], axes)
+
+
+# the same checks over a relation of arrays (name, shape, chunks, dtype, codec_fp), for many files at once
+
+
+def incompatible(arrays: DataFrame) -> DataFrame:
+    """name, n_dtypes, n_codecs, n_chunk_shapes, n_ranks of variables whose arrays can't be combined."""
+    g = arrays.groupBy("name").agg(F.countDistinct("dtype").alias("n_dtypes"), F.countDistinct("codec_fp").alias("n_codecs"), F.countDistinct(F.concat_ws(",", F.transform("chunks", lambda x: x.cast("string")))).alias("n_chunk_shapes"), F.countDistinct(F.size("shape")).alias("n_ranks"))
+    return g.where("n_dtypes > 1 or n_codecs > 1 or n_chunk_shapes > 1 or n_ranks > 1")
+
+
+def partial_arrays(arrays: DataFrame, axis: int) -> DataFrame:
+    """Arrays with a partial chunk on an axis."""
+    return arrays.where(F.element_at("shape", axis + 1) % F.element_at("chunks", axis + 1) > 0)
+
+
+def oversize_arrays(arrays: DataFrame) -> DataFrame:
+    """Arrays with a chunk longer than the array on some axis."""
+    return arrays.where(F.exists(F.zip_with("chunks", "shape", lambda c, s: c > s), lambda x: x))
+
+
+def name_conflicts(arrays: DataFrame) -> DataFrame:
+    """name, n of variables whose definitions (fp) differ between datasets."""
+    return arrays.groupBy("name").agg(F.countDistinct("fp").alias("n")).where("n > 1")
+
+
+def container_violations(refs: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Virtual references below no allowed prefix."""
+    ok = F.lit(False)
+    for p in prefixes:
+        ok = ok | F.startswith("path", F.lit(p))
+    return refs.where(F.col("data").isNull() & ~ok)
+
+
+def default_loadable(arrays: DataFrame) -> DataFrame:
+    """Arrays named after their only dimension."""
+    return arrays.where((F.size("dims") == 1) & (F.get("dims", F.lit(0)) == F.col("name")))
+
+
+def absent(expected: DataFrame, present: DataFrame) -> DataFrame:
+    """(file, name) pairs that are expected and not there."""
+    return expected.join(present, ["file", "name"], "left_anti")

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import at_axis
 from ..meta import ArrayMeta, ceil_div
 from ..varray import COLUMNS, VArray
 from . import checks
@@ -40,6 +41,10 @@ def _axis_of(axis, ndim: int) -> int:
     return axis % ndim
 
 
+def _shifted(refs: DataFrame, axis: int, by: int) -> DataFrame:
+    return refs.withColumn("idx", at_axis(F.col("idx"), axis, lambda x: x + by))
+
+
 def concatenate(arrays: list[VArray], axis: int = 0) -> VArray:
     """Join along an axis; the first array's metadata count."""
     metas = _metas(arrays)
@@ -50,8 +55,7 @@ def concatenate(arrays: list[VArray], axis: int = 0) -> VArray:
     checks.no_partial_chunks(metas, axis)
     shift, parts = 0, []
     for a in arrays:
-        by = shift
-        parts.append(a.refs if not by else a.refs.withColumn("idx", F.transform("idx", lambda x, i, by=by: F.when(i == axis, x + by).otherwise(x))))
+        parts.append(_shifted(a.refs, axis, shift) if shift else a.refs)
         shift += a.grid[axis]
     shape = tuple(sum(m.shape[axis] for m in metas) if i == axis else s for i, s in enumerate(metas[0].shape))
     return arrays[0].with_refs(_union([p.select(*COLUMNS) for p in parts]), shape=shape)
@@ -100,7 +104,7 @@ def broadcast_to(array: VArray, shape: tuple[int, ...]) -> VArray:
         n = ceil_div(is_, chunks[a])
         if was == 1 and n != 1:
             copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))) if n else F.explode(F.array().cast("array<bigint>"))
-            refs = refs.withColumn("_at", copies).withColumn("idx", F.transform("idx", lambda x, i, a=a: F.when(i == a, F.col("_at")).otherwise(x))).drop("_at")
+            refs = refs.withColumn("_at", copies).withColumn("idx", at_axis(F.col("idx"), a, lambda _: F.col("_at"))).drop("_at")
     changes: dict = {"shape": shape, "chunks": chunks}
     if lead and any(c["name"] == "transpose" for c in meta.codecs):
         codecs = meta.codecs
@@ -118,7 +122,7 @@ def concat_files(refs: DataFrame, files: DataFrame, axis: int) -> DataFrame:
     """
     order = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("file", F.coalesce(F.sum("grid_len").over(order), F.lit(0)).cast("bigint").alias("_start"))
-    return refs.join(starts, "file").withColumn("idx", F.transform("idx", lambda x, i: F.when(i == axis, x + F.col("_start")).otherwise(x))).drop("_start")
+    return refs.join(starts, "file").withColumn("idx", at_axis(F.col("idx"), axis, lambda x: x + F.col("_start"))).drop("_start")
 
 
 def result_dtype(*operands):
@@ -128,3 +132,18 @@ def result_dtype(*operands):
         raise TypeError("no virtual array among the operands")
     checks.same_dtype(found)
     return found[0].dtype
+
+
+def replace_box(array: VArray, patch: VArray, at: dict[int, int]) -> VArray:
+    """``patch`` in the place of a box of chunks that begins at chunk ``at[axis]`` on the given axes."""
+    checks.combinable([array.meta, patch.meta])
+    checks.same_ndim([array.meta, patch.meta])
+    checks.same_shape_except([array.meta, patch.meta], set(at))
+    inside = F.lit(True)
+    for a, lo in at.items():
+        if lo + patch.grid[a] > array.grid[a]:
+            raise ValueError(f"the box leaves the array on axis {a}")
+        inside = inside & (F.element_at("idx", a + 1) >= lo) & (F.element_at("idx", a + 1) < lo + patch.grid[a])
+    shifts = F.array(*[F.lit(at.get(a, 0)).cast("bigint") for a in range(array.ndim)])
+    moved = patch.refs.withColumn("idx", F.zip_with("idx", shifts, lambda x, y: x + y))
+    return array.with_refs(array.refs.where(~inside).select(*COLUMNS).unionByName(moved.select(*COLUMNS)))

@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import SubChunkIndexingError
+from ..functions.keys import at_axis
 from ..meta import ceil_div
 from ..varray import VArray
 
@@ -80,7 +81,7 @@ def _sub(arr: VArray, axis: int, start: int, stop: int) -> VArray:
     k, inner = start // chunk, start % chunk
     refs = (
         arr.refs.where(_axis(F.col("idx"), axis) == k)
-        .withColumn("idx", F.transform("idx", lambda x, i: F.when(i == axis, F.lit(0).cast("bigint")).otherwise(x)))
+        .withColumn("idx", at_axis(F.col("idx"), axis, lambda _: F.lit(0).cast("bigint")))
         .withColumns({"offset": F.when(F.col("data").isNull(), F.col("offset") + inner * stride).otherwise(F.col("offset")), "length": F.lit(n * stride).cast("bigint"), "data": F.substring("data", inner * stride + 1, n * stride)})
     )
     shape = tuple(n if i == axis else s for i, s in enumerate(arr.shape))

@@ -24,3 +24,21 @@ def missing_ratio(refs: DataFrame, n_chunks: int) -> float:
 def distinct_files(refs: DataFrame, exact: bool = True) -> int:
     f = F.countDistinct("path") if exact else F.approx_count_distinct("path")
     return refs.where("data is null").agg(f.alias("n")).first()["n"]
+
+
+def grid_column(shape, chunks):
+    """Chunks along each axis, as a Column of an array."""
+    return F.zip_with(shape, chunks, lambda s, c: F.floor((s + c - 1) / c).cast("bigint"))
+
+
+def dense_count(grid):
+    """Grid positions, as a Column of a grid array."""
+    return F.aggregate(grid, F.lit(1).cast("bigint"), lambda a, x: a * x)
+
+
+def not_contiguous(refs: DataFrame, end: str = "length") -> DataFrame:
+    """path, idx of references that don't begin where the file's previous one ends: lead over each file's references."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("path").orderBy("offset", "idx")
+    return refs.withColumn("next_", F.lead("offset").over(order)).where(F.col("next_").isNotNull() & (F.col("offset") + F.col(end) != F.col("next_")))
