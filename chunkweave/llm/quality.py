@@ -108,7 +108,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> dict:
     """Model of feature rows ``x`` and labels ``y`` (0 or 1)."""
     prior = float(y.mean()) if len(y) else 0.5
     model = {"id": uuid.uuid4().hex, "prior": prior, "edges": [], "tables": [], "pairs": []}
-    if not 0 < prior < 1:
+    if not len(y) or not 0 < prior < 1:
         return model
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
     bins = np.stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(edges)], axis=1)

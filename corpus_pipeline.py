@@ -44,8 +44,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a passage of the benchmark."""
     found = decontaminate.matches(docs, base.table(spark, sf_dir, "benchmark"))
-    hit = found.where("size(spans) > 0").select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti").select(docs.columns)
+    hit = found.where("size(spans) > 0").select("doc_id").distinct()
+    return docs.alias("d").join(hit.alias("h"), F.expr("d.doc_id <=> h.doc_id"), "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
