@@ -85,7 +85,7 @@ def chunk_map_of(indexer: list[int], chunk: int, source_len: int) -> list[int |
 def moved(refs: DataFrame, axis: int, map_: DataFrame) -> DataFrame:
     """References whose chunk on ``axis`` goes from src to dst; one source may go to many targets."""
     m = map_.select(F.col("src").cast("bigint").alias("_src"), F.col("dst").cast("bigint").alias("_dst"))
-    return refs.join(m, F.element_at("idx", axis + 1) == F.col("_src")).withColumn("idx", at_axis(F.col("idx"), axis, lambda _: F.col("_dst"))).drop("_src", "_dst")
+    return refs.join(m, F.get("idx", F.lit(axis)) == F.col("_src")).withColumn("idx", at_axis(F.col("idx"), axis, lambda _: F.col("_dst"))).drop("_src", "_dst")
 
 
 def reindex_axis(arr: VArray, axis: int, indexer: list[int]) -> VArray:

@@ -78,7 +78,7 @@ def incompatible(arrays: DataFrame) -> DataFrame:
 
 def partial_arrays(arrays: DataFrame, axis: int) -> DataFrame:
     """Arrays with a partial chunk on an axis."""
-    return arrays.where(F.element_at("shape", axis + 1) % F.element_at("chunks", axis + 1) > 0)
+    return arrays.where(F.get("shape", F.lit(axis)) % F.get("chunks", F.lit(axis)) > 0)
 
 
 def oversize_arrays(arrays: DataFrame) -> DataFrame:

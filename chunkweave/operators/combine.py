@@ -143,7 +143,7 @@ def replace_box(array: VArray, patch: VArray, at: dict[int, int]) -> VArray:
     for a, lo in at.items():
         if lo + patch.grid[a] > array.grid[a]:
             raise ValueError(f"the box leaves the array on axis {a}")
-        inside = inside & (F.element_at("idx", a + 1) >= lo) & (F.element_at("idx", a + 1) < lo + patch.grid[a])
+        inside = inside & (F.get("idx", F.lit(a)) >= lo) & (F.get("idx", F.lit(a)) < lo + patch.grid[a])
     shifts = F.array(*[F.lit(at.get(a, 0)).cast("bigint") for a in range(array.ndim)])
     moved = patch.refs.withColumn("idx", F.zip_with("idx", shifts, lambda x, y: x + y))
     return array.with_refs(array.refs.where(~inside).select(*COLUMNS).unionByName(moved.select(*COLUMNS)))

@@ -53,7 +53,7 @@ def _step(indexer, length: int, chunk: int) -> tuple:
 
 
 def _axis(idx: Column, a: int) -> Column:
-    return F.element_at(idx, a + 1)
+    return F.get(idx, F.lit(a))
 
 
 def _without(idx: Column, axes: set[int], ndim: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def grid_from_keys(refs: DataFrame, ndim: int) -> tuple[int, ...]:
     """Grid shape from the indexes that are there: the largest on each axis plus one."""
-    row = refs.agg(*[F.max(F.element_at("idx", a + 1)).alias(f"m{a}") for a in range(ndim)]).first() if ndim else ()
+    row = refs.agg(*[F.max(F.get("idx", F.lit(a))).alias(f"m{a}") for a in range(ndim)]).first() if ndim else ()
     return tuple((m if m is not None else -1) + 1 for m in row)
 
 

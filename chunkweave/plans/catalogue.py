@@ -38,7 +38,7 @@ def query(name: str, sql: str):
 
 def flat(arr: VArray) -> DataFrame:
     """i0, i1, ..., path, off, len."""
-    return arr.refs.select(*[F.element_at("idx", a + 1).alias(f"i{a}") for a in range(arr.ndim)], "path", F.col("offset").alias("off"), F.col("length").alias("len"))
+    return arr.refs.select(*[F.get("idx", F.lit(a)).alias(f"i{a}") for a in range(arr.ndim)], "path", F.col("offset").alias("off"), F.col("length").alias("len"))
 
 
 # selection
@@ -144,7 +144,7 @@ def _(s, sf):
     t = M.event_days(s, sf)
     refs = t.select("file", "label", F.array((F.row_number().over(Window.partitionBy("file").orderBy("label")) - 1).cast("bigint")).alias("idx"))
     files = t.groupBy("file").agg(F.count("*").alias("grid_len")).withColumn("ord", F.col("file"))
-    return combine.concat_files(refs, files, 0).select("file", F.element_at("idx", 1).alias("i0"), "label")
+    return combine.concat_files(refs, files, 0).select("file", F.get("idx", F.lit(0)).alias("i0"), "label")
 
 
 @query("append_offset", _WITH_R + "SELECT * FROM m1 UNION ALL SELECT i0 + (SELECT max(l_orderkey) + 1 FROM lineitem), i1, path, off, len FROM r")
@@ -224,7 +224,7 @@ def _(s, sf):
 
 @query("missing_chunks", _WITH + "SELECT a AS i0, b AS i1 FROM (SELECT unnest(generate_series(0, 299)) AS a), (SELECT unnest(generate_series(0, 6)) AS b) WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE i0 = a AND i1 = b)")
 def _(s, sf):
-    return align.missing_chunks(M.lineitem_grid(s, sf)[:300, :]).select(F.element_at("idx", 1).alias("i0"), F.element_at("idx", 2).alias("i1"))
+    return align.missing_chunks(M.lineitem_grid(s, sf)[:300, :]).select(F.get("idx", F.lit(0)).alias("i0"), F.get("idx", F.lit(1)).alias("i1"))
 
 
 # comparison and metrics
@@ -233,7 +233,7 @@ def _(s, sf):
 @query("elementwise_eq", _WITH_R + "SELECT coalesce(m1.i0, r.i0) AS i0, coalesce(m1.i1, r.i1) AS i1, m1.path IS NOT DISTINCT FROM r.path AND m1.off IS NOT DISTINCT FROM r.off AND m1.len IS NOT DISTINCT FROM r.len AS equal FROM m1 FULL JOIN r ON m1.i0 = r.i0 AND m1.i1 = r.i1")
 def _(s, sf):
     e = compare.elementwise_eq(M.lineitem_grid(s, sf), M.lineitem_grid(s, sf, "l_returnflag = 'R'"))
-    return e.select(F.element_at("idx", 1).alias("i0"), F.element_at("idx", 2).alias("i1"), "equal")
+    return e.select(F.get("idx", F.lit(0)).alias("i0"), F.get("idx", F.lit(1)).alias("i1"), "equal")
 
 
 @query("manifest_equal", "SELECT true AS same, false AS other")
@@ -296,7 +296,7 @@ def _(s, sf):
 def _(s, sf):
     k = M.table(s, sf, "conversations").select(F.concat(F.lit("grp/var/c/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("k")).distinct()
     idx = keys.store_key_index(F.col("k"), "/")
-    return k.select(F.element_at(idx, 1).alias("i0"), F.element_at(idx, 2).alias("i1"))
+    return k.select(F.get(idx, F.lit(0)).alias("i0"), F.get(idx, F.lit(1)).alias("i1"))
 
 
 @query("key_validate", "SELECT k AS chunk_key FROM (SELECT DISTINCT concat(CAST(conv_id AS VARCHAR), CASE WHEN turn % 3 = 0 THEN '.' ELSE '' END, '.', CAST(turn AS VARCHAR)) AS k FROM conversations) WHERE contains(k, '..')")
@@ -317,7 +317,7 @@ def _range(name: str, args: dict, sql: str):
     @query(f"byte_range_{name}", _DOCS + f"SELECT i0, {sql} FROM d")
     def _(s, sf):
         off, n = keys.resolve_range(F.col("offset"), F.col("length"), **args)
-        return M.documents_1d(s, sf).refs.select(F.element_at("idx", 1).alias("i0"), off.alias("off"), n.alias("len"))
+        return M.documents_1d(s, sf).refs.select(F.get("idx", F.lit(0)).alias("i0"), off.alias("off"), n.alias("len"))
 
 
 _range("range", {"start": 100, "end": 300}, "off + least(100, len) AS off, greatest(least(300, len) - least(100, len), 0) AS len")
@@ -396,7 +396,7 @@ def _(s, sf):
 
 @query("zip_contiguity", _DOCS + "SELECT i0, off, len FROM (SELECT *, lead(off) OVER (PARTITION BY path ORDER BY off, i0) AS nxt FROM d WHERE path IS NOT NULL) WHERE nxt IS NOT NULL AND off + len <> nxt")
 def _(s, sf):
-    return metrics.not_contiguous(M.documents_1d(s, sf).virtual_refs()).select(F.element_at("idx", 1).alias("i0"), F.col("offset").alias("off"), F.col("length").alias("len"))
+    return metrics.not_contiguous(M.documents_1d(s, sf).virtual_refs()).select(F.get("idx", F.lit(0)).alias("i0"), F.col("offset").alias("off"), F.col("length").alias("len"))
 
 
 # values

@@ -123,7 +123,7 @@ def _to_parquet(ds: VDataset, path: str, record_size: int) -> None:
             v = VArray(_loaded_meta(v), spark.createDataFrame([([0] * values.ndim, None, 0, values.nbytes, bytearray(values.tobytes()))], "idx array<bigint>, path string, offset bigint, length bigint, data binary"))
         linear, stride = F.lit(0).cast("bigint"), 1
         for a in range(v.ndim - 1, -1, -1):
-            linear = linear + F.element_at("idx", a + 1) * stride
+            linear = linear + F.get("idx", F.lit(a)) * stride
             stride *= v.grid[a]
         total = v.meta.n_chunks
         rows = v.refs.select(F.expr("0").alias("_"), linear.alias("at"), F.regexp_replace("path", "^file://", "").alias("path"), "offset", "length", "data").drop("_").withColumn("record", F.expr(f"at div {record_size}"))

@@ -244,7 +244,7 @@ class Store:
                 node["arrays"][n] = {"kind": "virtual", "meta": v.meta.to_row(), "segments": [{"path": f"{where}/{n}", "box": None}]}
 
     def _segment(self, v: VArray, shift: list[int], path: str, stamp) -> None:
-        axes = [(F.element_at("idx", k + 1) + shift[k]).alias(f"i{k}") for k in range(v.ndim)]
+        axes = [(F.get("idx", F.lit(k)) + shift[k]).alias(f"i{k}") for k in range(v.ndim)]
         v.refs.select(*axes, "path", "offset", "length", "data", F.lit(stamp).cast("timestamp").alias("last_updated_at")).write.parquet(f"{self.path}/{path}")
 
     def _append(self, old: dict, v: VArray, axis: int, path: str, stamp) -> None:

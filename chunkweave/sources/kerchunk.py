@@ -24,7 +24,8 @@ def refs_frame(spark: SparkSession, document: dict | str) -> DataFrame:
         refs = document.get("refs", document)
         rows = [(k, v if isinstance(v, str) else json.dumps(v), isinstance(v, str)) for k, v in refs.items() if k != "version"]
         return spark.createDataFrame(rows, "key string, value string, text boolean")
-    whole = spark.read.text(keys.uri(document), wholetext=True)
+    # the bare NaN of [NaN] isn't JSON
+    whole = spark.read.text(keys.uri(document), wholetext=True).select(F.regexp_replace("value", r"(:\s*\[\s*)NaN(\s*\])", "$1null$2").alias("value"))
     # values as JSON text each, by way of a variant: a string that looks like a list stays a string
     return whole.select(F.expr("parse_json(value)").alias("v")).select(F.expr("coalesce(try_variant_get(v, '$.refs', 'map<string, variant>'), cast(v as map<string, variant>))").alias("m")).select(F.explode("m").alias("key", "v")).select("key", F.when(F.schema_of_variant("v") == "STRING", F.expr("cast(v as string)")).otherwise(F.to_json("v")).alias("value"), (F.schema_of_variant("v") == "STRING").alias("text"))
 

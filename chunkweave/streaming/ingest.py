@@ -39,7 +39,7 @@ def append_batch(store: Store, datasets: list[VDataset], dim: str, name: str, ba
 
 def ingest(spark: SparkSession, folder: str, pattern: str, open_file: Callable[[str], VDataset], store: Store, dim: str, checkpoint: str, name: str = "ingest", group: str = "", max_files: int | None = None) -> StreamingQuery:
     """A query that appends the files which appear in a folder; batches written before a failure aren't written again."""
-    source = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern)
+    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern)
     if max_files:
         source = source.option("maxFilesPerTrigger", max_files)
 
