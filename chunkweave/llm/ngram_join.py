@@ -10,6 +10,10 @@ of many documents come last.
 * Token-group matrix: the union of each group's leading shingles, as rows (token, group).
 * Candidate groups of a group: those with a token in common and sizes that can match.  The smaller one's
   nodes visit the larger.
+* Signs: every set has a bitmap of ``SIGN_BITS`` bits, doubled with the size of the set beyond ``SIGN_SIZE``,
+  each the parity of the shingles that fall on it.  Two bitmaps, the longer one folded, differ in no more bits
+  than the sets in shingles, so only nodes with a partner whose bitmap is near enough stay; none that has a
+  link is lost.  Whole sets are moved for those nodes alone.
 * Bound: a visitor's overlap with the union of all of the group's shingles.  Only visitors that reach t
   times their own size open the group.
 * Opened groups are compared by a product of membership matrices, so no pair becomes a row: out come edges
@@ -39,12 +43,13 @@ from . import base
 
 SIZE, PER_CENT = 3, 90
 #: Most members, and most visitors, that are compared at once.
-BLOCK = 1024
+BLOCK = 2048
+SIGN_BITS, SIGN_SIZE = 1024, 1500
 #: Counters of the sketch, as a power of two; bits of the filter of sets that are needed again.
 SKETCH_BITS, FILTER_BITS = 20, 23
 SLICE = 1 << 14
 KEPT_WORDS = 500_000
-HEADS = "doc_id long, n long, node long, head array<long>"
+HEADS = "doc_id long, n long, node long, head array<long>, sign binary"
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _ODD = [np.uint64(x | 1) for x in (0x8CB92BA72F3D8DD6, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C4, 0x165667B19E3779F8, 0xD6E8FEB86659FD92)]
 
@@ -96,6 +101,26 @@ def _node(u: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def sign_class(n: int) -> int:
+    """How often the bitmap of a set of n shingles is doubled."""
+    return max(0, (-(-n // SIGN_SIZE) - 1).bit_length())
+
+
+def sign(u: np.ndarray) -> bytes:
+    """Bitmap of a set: for each place whether an odd number of shingles fall on it."""
+    bits = SIGN_BITS << sign_class(len(u))
+    places = (u * _MIX[2] >> np.uint64(20)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(places.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(signs: np.ndarray, times: int) -> np.ndarray:
+    """Rows of bitmaps, halved so many times."""
+    for _ in range(times):
+        half = signs.shape[1] // 2
+        signs = signs[:, :half] ^ signs[:, half:]
+    return signs
+
+
 def _vectors(df: DataFrame, of, length: int, join, kind) -> np.ndarray:
     """``join`` of the vectors that ``of`` makes from each partition's batches; moved and merged in slices of fixed size."""
     size = min(SLICE, length)
@@ -148,10 +173,10 @@ def heads(docs: DataFrame, size: int, per_cent: int) -> DataFrame:
     def run(batches):
         rank = classes.value
         shift = np.uint64(64 - int(len(rank)).bit_length() + 1)
-        ids, ns, nodes, lead = [], [], [], []
+        ids, ns, nodes, lead, signs = [], [], [], [], []
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(lead, pa.list_(pa.int64()))], ["doc_id", "n", "node", "head"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(lead, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "n", "node", "head", "sign"])
 
         for doc_id, u in _sets(batches, size):
             ids.append(doc_id)
@@ -159,9 +184,10 @@ def heads(docs: DataFrame, size: int, per_cent: int) -> DataFrame:
             nodes.append(_node(u) if len(u) else None)
             order = np.lexsort((u, rank[(u >> shift).astype(np.int64)]))[: len(u) - needed(len(u), per_cent) + 1] if len(u) else []
             lead.append(u[order].view(np.int64) if len(u) else [])
+            signs.append(sign(u) if len(u) else None)
             if len(ids) >= 5000:
                 yield out()
-                ids, ns, nodes, lead = [], [], [], []
+                ids, ns, nodes, lead, signs = [], [], [], [], []
         yield out()
 
     return base.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, HEADS), "heads")
@@ -202,13 +228,19 @@ def _needed_sets(docs: DataFrame, reps: DataFrame, size: int, bits: int = FILTER
     return found.join(own, ["node", "rep"]).dropDuplicates(["node"]).select("node", "tokens")
 
 
+#: Rows of a matrix of links that are worked on at once, and tokens of a matrix of membership.
+_ROWS, _WIDTH = 256, 2048
+
+
 def _lowest(link: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
     """The smallest index that each of n items reaches by links between rows and cols (their indexes)."""
-    label = np.arange(n)
+    label = np.arange(n, dtype=np.int32)
     while True:
         before = label.copy()
-        np.minimum.at(label, rows, np.where(link, label[cols][None, :], n).min(axis=1, initial=n))
-        np.minimum.at(label, cols, np.where(link, label[rows][:, None], n).min(axis=0, initial=n))
+        for i in range(0, len(rows), _ROWS):
+            r, own = rows[i : i + _ROWS], link[i : i + _ROWS]
+            np.minimum.at(label, r, np.where(own, label[cols][None, :], np.int32(n)).min(axis=1))
+            np.minimum.at(label, cols, np.where(own, label[r][:, None], np.int32(n)).min(axis=0))
         label = label[label]
         if (label == before).all():
             return label
@@ -236,50 +268,93 @@ def compare(nodes: np.ndarray, sets: list[np.ndarray], visits: np.ndarray, inner
     by_column = np.argsort(column, kind="stable")
     owner, column = owner[by_column], column[by_column]
     _, column = np.unique(column, return_inverse=True)
-    inter = np.zeros((len(rows), len(cols)), np.float32)
+    kind = np.float32 if sizes.max() < 1 << 24 else np.float64  # sums of ones stay exact
+    inter = np.zeros((len(rows), len(cols)), kind)
     at_row, at_col = np.full(len(sets), -1), np.full(len(sets), -1)
     at_row[rows], at_col[cols] = np.arange(len(rows)), np.arange(len(cols))
-    width = 4096
     last = int(column[-1]) + 1 if len(column) else 0
-    for a in range(0, last, width):
-        i, j = np.searchsorted(column, (a, a + width))
+    for a in range(0, last, _WIDTH):
+        i, j = np.searchsorted(column, (a, a + _WIDTH))
         o, c = owner[i:j], column[i:j] - a
-        x, y = np.zeros((len(rows), min(width, last - a)), np.float32), np.zeros((len(cols), min(width, last - a)), np.float32)
+        x, y = np.zeros((len(rows), min(_WIDTH, last - a)), kind), np.zeros((len(cols), min(_WIDTH, last - a)), kind)
         ok = at_row[o] >= 0
         x[at_row[o[ok]], c[ok]] = 1
         ok = at_col[o] >= 0
         y[at_col[o[ok]], c[ok]] = 1
         inter += x @ y.T
-    link = 100 * inter.astype(np.int64) >= per_cent * (sizes[rows][:, None] + sizes[cols][None, :] - inter.astype(np.int64))
+    link = np.empty(inter.shape, bool)
+    for i in range(0, len(rows), _ROWS):
+        own = inter[i : i + _ROWS].astype(np.int64)
+        link[i : i + _ROWS] = (100 + per_cent) * own >= per_cent * (sizes[rows[i : i + _ROWS]][:, None] + sizes[cols][None, :])
+    del inter
     label = _lowest(link, rows, cols, len(sets))
     moved = label != np.arange(len(sets))
     return nodes[moved], nodes[label[moved]]
 
 
+def near_signs(signs: list[bytes], sizes: np.ndarray, visits: np.ndarray, inner: bool, per_cent: int) -> np.ndarray:
+    """Which rows have a partner that may be linked, by the number of bits in which their bitmaps differ."""
+    out = np.zeros(len(sizes), bool)
+    kinds = np.array([sign_class(int(n)) for n in sizes])
+    words = {k: np.frombuffer(b"".join(signs[i] for i in np.flatnonzero(kinds == k)), np.uint64).reshape((kinds == k).sum(), -1) for k in np.unique(kinds)}
+    place = np.zeros(len(sizes), np.int64)
+    for k in words:
+        place[kinds == k] = np.arange((kinds == k).sum())
+    for x, of_x in words.items():
+        rows = np.flatnonzero((kinds == x) if inner else (kinds == x) & visits)
+        for y, of_y in words.items():
+            cols = np.flatnonzero((kinds == y) & ~visits)
+            if not len(rows) or not len(cols) or 100 * sizes[rows].max() < per_cent * sizes[cols].min() or 100 * sizes[cols].max() < per_cent * sizes[rows].min():
+                continue
+            least = min(x, y)
+            right = folded(of_y[place[cols]], y - least)
+            step = max(1, (1 << 20) // (right.shape[1] * len(cols)))
+            for i in range(0, len(rows), step):
+                r = rows[i : i + step]
+                left = folded(of_x[place[r]], x - least)
+                apart = np.bitwise_count(left[:, None, :] ^ right[None, :, :]).sum(axis=2, dtype=np.int64)
+                near = (100 + per_cent) * apart <= (100 - per_cent) * (sizes[r][:, None] + sizes[cols][None, :])
+                near &= r[:, None] != cols[None, :]
+                out[r] |= near.any(axis=1)
+                out[cols] |= near.any(axis=0)
+    return out
+
+
+def _units(batches, columns: tuple[str, ...], finish):
+    """``finish(grp, chunk, rows)`` of each unit in a stream of rows sorted by (grp, chunk)."""
+    key, rows = None, []
+    for batch in batches:
+        for g, c, *row in zip(*(batch.column(k).to_pylist() for k in ("grp", "chunk", *columns)), strict=True):
+            if (g, c) != key:
+                if len(rows) > 1:
+                    yield from finish(*key, rows)
+                key, rows = (g, c), []
+            rows.append(row)
+    if len(rows) > 1:
+        yield from finish(*key, rows)
+
+
+def _survivors(per_cent: int):
+    """grp, chunk, node, visit of the nodes that may have a link in a unit."""
+
+    def finish(g, c, rows):
+        near = near_signs([r[3] for r in rows], np.array([r[2] for r in rows], np.int64), np.array([r[1] for r in rows], bool), c == 0, per_cent)
+        if near.any():
+            own = [rows[i] for i in np.flatnonzero(near)]
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(own), pa.int64()), pa.array([c] * len(own), pa.int32()), pa.array([r[0] for r in own], pa.int64()), pa.array([r[1] for r in own], pa.bool_())], ["grp", "chunk", "node", "visit"])
+
+    return lambda batches: _units(batches, ("node", "visit", "n", "sign"), finish)
+
+
 def _opened(per_cent: int):
-    """Stream of rows sorted by unit (home, chunk) to edges."""
+    """Edges (a, b) of the units."""
 
-    def finish(key, rows):
-        if len(rows) < 2:
-            return
-        nodes = np.array([r[0] for r in rows], np.int64)
-        a, b = compare(nodes, [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows], bool), key[1] == 0, per_cent)
+    def finish(g, c, rows):
+        a, b = compare(np.array([r[0] for r in rows], np.int64), [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows], bool), c == 0, per_cent)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def run(batches):
-        key, rows = None, []
-        for batch in batches:
-            for g, c, node, visit, tokens in zip(*(batch.column(k).to_pylist() for k in ("grp", "chunk", "node", "visit", "tokens")), strict=True):
-                if (g, c) != key:
-                    if key is not None:
-                        yield from finish(key, rows)
-                    key, rows = (g, c), []
-                rows.append((node, visit, tokens))
-        if key is not None:
-            yield from finish(key, rows)
-
-    return run
+    return lambda batches: _units(batches, ("node", "visit", "tokens"), finish)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -324,10 +399,14 @@ def links(docs: DataFrame, lead: DataFrame, size: int, per_cent: int, block: int
     calls = pairs.groupBy(F.col("y_grp").alias("grp")).agg(F.ceil(F.sum("x_m") / block).cast("int").alias("chunks"))
     guests = pairs.select(F.col("x_grp").alias("grp"), "y_grp", "y_low", "y_high").join(members, "grp").where(f"100 * n >= {per_cent} * y_low and 100 * y_high >= {per_cent} * n").select(F.col("y_grp").alias("grp"), "node").join(calls, "grp").select("grp", F.pmod(F.xxhash64("node", "grp"), "chunks").cast("int").alias("chunk"), "node", F.lit(True).alias("visit"))
     hosts = members.join(calls, "grp", "left").select("grp", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"), "node", F.lit(False).alias("visit"))
-    sets = base.stored(_needed_sets(docs, members.select("node", "rep"), size), "sets")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    units = guests.unionByName(hosts).join(sets, "node").repartition(parts, "grp", "chunk").sortWithinPartitions("grp", "chunk")
-    return units.mapInArrow(_opened(per_cent), "a long, b long")
+    own = full.select("node", F.col("doc_id").alias("rep"), "n", "sign").alias("f").join(members.select("node", "rep").alias("m"), F.expr("f.node = m.node and f.rep <=> m.rep")).select("f.node", "n", "sign").dropDuplicates(["node"])
+    units = guests.unionByName(hosts).join(own, "node").repartition(parts, "grp", "chunk").sortWithinPartitions("grp", "chunk")
+    near = base.stored(units.mapInArrow(_survivors(per_cent), "grp long, chunk int, node long, visit boolean"), "near")
+    base.dropped(pairs)
+    sets = _needed_sets(docs, near.select("node").distinct().join(members.select("node", "rep"), "node"), size)
+    opened = near.join(sets, "node").repartition(parts, "grp", "chunk").sortWithinPartitions("grp", "chunk")
+    return opened.mapInArrow(_opened(per_cent), "a long, b long")
 
 
 def join(docs: DataFrame, size: int = SIZE, per_cent: int = PER_CENT, block: int = BLOCK) -> DataFrame:
