@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,22 +44,42 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables stored inside the calls of :func:`settled` that are under way.
+_HELD: list[list[DataFrame]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    if _HELD:
+        _HELD[-1].append(out)
+    return out
 
 
 def dropped(df: DataFrame) -> None:
     """Delete a table made by :func:`stored` which no later result reads."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if folder.startswith(("file:", "hdfs:", "viewfs:", "s3")) and shared_folder(spark).removeprefix("file://") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The stored result of ``make``; the tables that it stored on the way are deleted."""
+    _HELD.append([])
+    try:
+        out = stored(make(), name)
+    finally:
+        held = _HELD.pop()
+    for t in held:
+        if t is not out:
+            dropped(t)
+    if _HELD:
+        _HELD[-1].append(out)
+    return out
 
 
 #: Per Python worker: the newest of each kind that was built there, with its key.

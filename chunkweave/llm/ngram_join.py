@@ -1,15 +1,16 @@
 """N-gram Jaccard join over a token-group matrix.
 
 Documents are sets of word shingles, kept as sorted 64-bit hashes.  Equal sets are one node.  A pair with
-similarity t or more shares one of each set's first ``n - ceil(t n) + 1`` shingles in any common order;
-the order here runs from the rarest, by counts of all shingles in a sketch of fixed size, so that passages
-of many documents come last.
+similarity t or more shares one of each set's first ``n - ceil(t n) + 1`` shingles in any common order.
+The order here puts last what a sketch of fixed size, counting all shingles, shows to be frequent, such as
+passages of many documents; before those, shingles go by their words, rarest first, from a like sketch of all words, so
+that leading shingles are hardly ever shared by chance.
 
 * Groups: nodes with a shared leading shingle, gathered under the most frequent of those, so that similar
   documents meet.  A group of more than ``BLOCK`` nodes is cut.
 * Token-group matrix: the union of each group's leading shingles, as rows (token, group).
-* Candidate groups of a group: those with a token in common and sizes that can match.  The smaller one's
-  nodes visit the larger.
+* Candidate groups of a node: those whose union has one of its leading shingles, and sizes that can match.
+  Of two groups the smaller one's nodes visit the larger.
 * Signs: every set has a bitmap of ``SIGN_BITS`` bits, doubled with the size of the set beyond ``SIGN_SIZE``,
   each the parity of the shingles that fall on it.  Two bitmaps, the longer one folded, differ in no more bits
   than the sets in shingles, so only nodes with a partner whose bitmap is near enough stay; none that has a
@@ -46,7 +47,7 @@ SIZE, PER_CENT = 3, 90
 BLOCK = 2048
 SIGN_BITS, SIGN_SIZE = 1024, 1500
 #: Counters of the sketch, as a power of two; bits of the filter of sets that are needed again.
-SKETCH_BITS, FILTER_BITS = 20, 23
+SKETCH_BITS, WORD_BITS, FILTER_BITS = 22, 20, 23
 SLICE = 1 << 14
 KEPT_WORDS = 500_000
 HEADS = "doc_id long, n long, node long, head array<long>, sign binary"
@@ -73,28 +74,43 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def shingles(text: bytes | None, size: int = SIZE) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of ``size`` words; of the whole sequence where it is shorter."""
+def word_hashes(text: bytes | None) -> np.ndarray:
     words = text.lower().split() if text else []
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+
+
+def _windows(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each shingle, in order of the text; of the whole sequence where it is shorter."""
     n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
     width = min(n, size)
     total = np.full(n - width + 1, width, np.uint64) * _MIX[0]
     for k in range(width):
-        total += _mixed(hashes[k : n - width + 1 + k] * _ODD[k % len(_ODD)] + np.uint64(k))
-    return np.unique(_mixed(total))
+        total += _mixed(words[k : n - width + 1 + k] * _ODD[k % len(_ODD)] + np.uint64(k))
+    return _mixed(total)
 
 
-def needed(n: int, per_cent: int) -> int:
-    return -(-n * per_cent // 100)
+def shingles(text: bytes | None, size: int = SIZE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of ``size`` words."""
+    words = word_hashes(text)
+    return np.unique(_windows(words, size)) if len(words) else words
 
 
-def _sets(batches, size):
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), base.texts(batch.column(1)), strict=True):
-            yield doc_id, shingles(text, size)
+def ranked(text: bytes | None, size: int, frequent: np.ndarray, word_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same, and each one's place in the common order."""
+    words = word_hashes(text)
+    if not len(words):
+        return words, words
+    u, first = np.unique(_windows(words, size), return_index=True)
+    shift = lambda table: np.uint64(65 - len(table).bit_length())
+    steps = np.concatenate([[0], np.cumsum(word_class[(words >> shift(word_class)).astype(np.int64)], dtype=np.int64)])
+    width = min(len(words), size)
+    score = np.minimum(steps[first + width] - steps[first], 4095).astype(np.uint64)
+    place = frequent[(u >> shift(frequent)).astype(np.int64)].astype(np.uint64)
+    return u, place << np.uint64(56) | score << np.uint64(44) | u >> np.uint64(20)
+
+
+def needed(n: int, per_cent: int) -> int:
+    return -(-n * per_cent // 100)
 
 
 def _node(u: np.ndarray) -> int:
@@ -146,24 +162,38 @@ def _vectors(df: DataFrame, of, length: int, join, kind) -> np.ndarray:
     return out
 
 
-def frequency_classes(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """How frequent the shingles of each counter are: four classes for each doubling."""
+def frequency_classes(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each counter of shingles 0, or the more the further it stands out; for each counter of words how frequent they are."""
+    cuts = [0, 1 << SKETCH_BITS, (1 << SKETCH_BITS) + (1 << WORD_BITS)]
 
     def of(batches):
-        counts = np.zeros(1 << bits, np.uint32)
+        counts = np.zeros(cuts[2], np.uint32)
         held, n = [], 0
-        for _, u in _sets(batches, size):
-            held.append(u)
-            n += len(u)
-            if n > 1 << 20:
-                counts += np.bincount((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-                held, n = [], 0
-        if held:
-            counts += np.bincount((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+
+        def add():
+            nonlocal held, n
+            for k, part in enumerate(zip(*held, strict=True)):
+                bits = (SKETCH_BITS, WORD_BITS)[k]
+                np.add.at(counts[cuts[k] : cuts[k + 1]], (np.concatenate(part) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+            held, n = [], 0
+
+        for batch in batches:
+            for text in base.texts(batch.column(0)):
+                words = word_hashes(text)
+                if len(words):
+                    held.append((np.unique(_windows(words, size)), words))
+                    n += len(words)
+                    if n > 1 << 20:
+                        add()
+        add()
         return counts
 
-    total = _vectors(docs.select("doc_id", "text"), of, 1 << bits, lambda a, b: a + np.minimum(b, np.uint32(0xFFFFFFFF) - a), np.uint32)
-    return (4 * np.log2(1.0 + total)).astype(np.uint8)
+    total = _vectors(docs.select("text"), of, cuts[2], lambda a, b: a + np.minimum(b, np.uint32(0xFFFFFFFF) - a), np.uint32).astype(np.float64)
+    of_shingles, of_words = total[: cuts[1]], total[cuts[1] :]
+    usual = of_shingles.mean()
+    # a shingle that is taken for frequent by chance only comes later in the order
+    frequent = np.where(of_shingles > usual + 2 * np.sqrt(usual) + 1, 4 * np.log2(1 + of_shingles), 0).astype(np.uint8)
+    return frequent, (7 * np.log2(1 + of_words)).astype(np.uint8)
 
 
 def heads(docs: DataFrame, size: int, per_cent: int) -> DataFrame:
@@ -171,23 +201,23 @@ def heads(docs: DataFrame, size: int, per_cent: int) -> DataFrame:
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, size))
 
     def run(batches):
-        rank = classes.value
-        shift = np.uint64(64 - int(len(rank)).bit_length() + 1)
         ids, ns, nodes, lead, signs = [], [], [], [], []
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(lead, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "n", "node", "head", "sign"])
 
-        for doc_id, u in _sets(batches, size):
-            ids.append(doc_id)
-            ns.append(len(u))
-            nodes.append(_node(u) if len(u) else None)
-            order = np.lexsort((u, rank[(u >> shift).astype(np.int64)]))[: len(u) - needed(len(u), per_cent) + 1] if len(u) else []
-            lead.append(u[order].view(np.int64) if len(u) else [])
-            signs.append(sign(u) if len(u) else None)
-            if len(ids) >= 5000:
-                yield out()
-                ids, ns, nodes, lead, signs = [], [], [], [], []
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), base.texts(batch.column(1)), strict=True):
+                u, place = ranked(text, size, *classes.value)
+                ids.append(doc_id)
+                ns.append(len(u))
+                nodes.append(_node(u) if len(u) else None)
+                first = len(u) - needed(len(u), per_cent) + 1
+                lead.append((u[np.argpartition(place, first - 1)[:first]] if first < len(u) else u).view(np.int64) if len(u) else [])
+                signs.append(sign(u) if len(u) else None)
+                if len(ids) >= 5000:
+                    yield out()
+                    ids, ns, nodes, lead, signs = [], [], [], [], []
         yield out()
 
     return base.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, HEADS), "heads")
@@ -392,18 +422,18 @@ def links(docs: DataFrame, lead: DataFrame, size: int, per_cent: int, block: int
     crowd = home.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     members = base.stored(home.join(crowd, "home").join(nodes, "node").select("node", "rep", "n", F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts")).alias("grp")), "members")
     sizes = members.groupBy("grp").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = cells.join(members.select("node", "grp"), "node").select("token", "grp").distinct().join(sizes, "grp")
-    # groups that share a token, and whose sizes can match; the smaller visits
-    x, y = matrix.select("token", *[F.col(c).alias(f"x_{c}") for c in ("grp", "m", "low", "high")]), matrix.select("token", *[F.col(c).alias(f"y_{c}") for c in ("grp", "m", "low", "high")])
-    pairs = base.stored(x.join(y, "token").where(f"(x_m < y_m or (x_m = y_m and x_grp < y_grp)) and 100 * x_high >= {per_cent} * y_low and 100 * y_high >= {per_cent} * x_low").select("x_grp", "y_grp", "x_m", "y_low", "y_high").distinct(), "pairs")
-    calls = pairs.groupBy(F.col("y_grp").alias("grp")).agg(F.ceil(F.sum("x_m") / block).cast("int").alias("chunks"))
-    guests = pairs.select(F.col("x_grp").alias("grp"), "y_grp", "y_low", "y_high").join(members, "grp").where(f"100 * n >= {per_cent} * y_low and 100 * y_high >= {per_cent} * n").select(F.col("y_grp").alias("grp"), "node").join(calls, "grp").select("grp", F.pmod(F.xxhash64("node", "grp"), "chunks").cast("int").alias("chunk"), "node", F.lit(True).alias("visit"))
+    placed = cells.join(members.select("node", "n", "grp"), "node").join(sizes.select("grp", "m"), "grp")
+    matrix = cells.join(members.select("node", "grp"), "node").select("token", "grp").distinct().join(sizes, "grp").select("token", F.col("grp").alias("to"), F.col("m").alias("to_m"), "low", "high")
+    # of two groups the smaller one's nodes visit, those that share a token with the other and can match in size
+    guests = placed.join(matrix, "token").where(f"(m < to_m or (m = to_m and grp < to)) and 100 * n >= {per_cent} * low and 100 * high >= {per_cent} * n").select("node", F.col("to").alias("grp")).distinct()
+    guests = base.stored(guests, "guests")
+    calls = guests.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+    guests = guests.join(calls, "grp").select("grp", F.pmod(F.xxhash64("node", "grp"), "chunks").cast("int").alias("chunk"), "node", F.lit(True).alias("visit"))
     hosts = members.join(calls, "grp", "left").select("grp", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"), "node", F.lit(False).alias("visit"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = full.select("node", F.col("doc_id").alias("rep"), "n", "sign").alias("f").join(members.select("node", "rep").alias("m"), F.expr("f.node = m.node and f.rep <=> m.rep")).select("f.node", "n", "sign").dropDuplicates(["node"])
     units = guests.unionByName(hosts).join(own, "node").repartition(parts, "grp", "chunk").sortWithinPartitions("grp", "chunk")
     near = base.stored(units.mapInArrow(_survivors(per_cent), "grp long, chunk int, node long, visit boolean"), "near")
-    base.dropped(pairs)
     sets = _needed_sets(docs, near.select("node").distinct().join(members.select("node", "rep"), "node"), size)
     opened = near.join(sets, "node").repartition(parts, "grp", "chunk").sortWithinPartitions("grp", "chunk")
     return opened.mapInArrow(_opened(per_cent), "a long, b long")
@@ -413,7 +443,7 @@ def join(docs: DataFrame, size: int = SIZE, per_cent: int = PER_CENT, block: int
     """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     lead = heads(docs, size, per_cent)
-    stars = components(links(docs, lead, size, per_cent, block))
+    stars = base.settled(lambda: components(links(docs, lead, size, per_cent, block)), "components")
     nodes = lead.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
     rooted = nodes.join(stars, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("component"))

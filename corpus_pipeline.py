@@ -30,12 +30,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-equal texts: the one with the smallest id."""
-    found = base.stored(ngram_join.join(docs), "components").where("doc_id is not null")
-    first = F.col("doc_id") == F.col("component_id")
-    by_id = found.groupBy("doc_id").agg(F.max(first).alias("first"), F.count("*").alias("times"), (F.min("component_id") == F.max("component_id")).alias("same"), F.min("n_shingles").alias("least"))
+
+    def ids() -> DataFrame:
+        found = ngram_join.join(docs).where("doc_id is not null")
+        first = F.col("doc_id") == F.col("component_id")
+        return found.groupBy("doc_id").agg(F.max(first).alias("first"), F.count("*").alias("times"), (F.min("component_id") == F.max("component_id")).alias("same"), F.min("n_shingles").alias("least")).where("not first or times > 1")
+
+    by_id = base.settled(ids, "near-duplicates")
     kept = docs.join(by_id.where("not first").select("doc_id"), "doc_id", "left_anti")
     # rows of one id in one component
-    again = base.stored(by_id.where("first and times > 1 and same and least > 0").select("doc_id"), "repeated")
+    again = by_id.where("first and times > 1 and same and least > 0").select("doc_id")
     if again.isEmpty():
         return kept.select(docs.columns)
     return kept.join(again, "doc_id", "left_anti").unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
@@ -43,8 +47,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a passage of the benchmark."""
-    found = decontaminate.matches(docs, base.table(spark, sf_dir, "benchmark"))
-    hit = found.where("size(spans) > 0").select("doc_id").distinct()
+    items = base.table(spark, sf_dir, "benchmark")
+    hit = base.settled(lambda: decontaminate.matches(docs, items).where("size(spans) > 0").select("doc_id").distinct(), "contaminated")
     return docs.alias("d").join(hit.alias("h"), F.expr("d.doc_id <=> h.doc_id"), "left_anti")
 
 
