@@ -103,13 +103,20 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     """page_id, host, path, rule and verdict of each page."""
     url = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = url.withColumns({"rule": rule_column(rules), "by_rule": verdict_column(rules)})
+    # both sides of the last join are plain shuffles, so that a hot host's pages can be split
+    verdicts = base.settled(lambda: _host_verdicts(pages, ruled, rules, threshold), "verdicts")
+    return ruled.join(verdicts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_graph", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+
+
+def _host_verdicts(pages: DataFrame, ruled: DataFrame, rules, threshold: float) -> DataFrame:
+    """host, trust, distrust, by_graph."""
     edges = base.stored(host_edges(pages), "links")
     named = lambda kind: F.avg(F.when(F.col("by_rule") == kind, 1.0).otherwise(0.0))
     own = ruled.where("host <> ''").groupBy("host").agg(named("allow").alias("good"), named("block").alias("bad"))
-    linked = edges.select(F.col("dst").alias("host")).distinct().withColumns({"path": F.lit("/")}).withColumn("by_rule", verdict_column(rules)).select("host", F.when(F.col("by_rule") == "allow", 1.0).otherwise(0.0).alias("good"), F.when(F.col("by_rule") == "block", 1.0).otherwise(0.0).alias("bad"))
+    is_ = lambda kind: F.when(F.col("by_rule") == kind, 1.0).otherwise(0.0)
+    linked = edges.select(F.col("dst").alias("host")).distinct().withColumn("path", F.lit("/")).withColumn("by_rule", verdict_column(rules)).select("host", is_("allow").alias("good"), is_("block").alias("bad"))
     hosts = base.stored(own.unionByName(linked).groupBy("host").agg(F.max("good").alias("good"), F.max("bad").alias("bad")), "hosts")
     trust = spread(edges, hosts, "good").withColumnRenamed("rank", "trust")
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = spread(turned, hosts, "bad").withColumnRenamed("rank", "distrust")
-    verdicts = trust.join(distrust, "host").select("host", "trust", "distrust", F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow").alias("by_graph"))
-    return ruled.join(verdicts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_graph", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    return trust.join(distrust, "host").select("host", "trust", "distrust", F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow").alias("by_graph"))
