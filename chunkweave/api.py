@@ -74,9 +74,11 @@ def _paths(spark: SparkSession, urls):
 
 def open_virtual_mfdataset(
     spark: SparkSession, urls, parser, concat_dim=None, compat: str = "no_conflicts", preprocess: Callable[[VDataset], VDataset] | None = None, data_vars: str = "all", coords: str = "different",
-    combine: str = "by_coords", join: str = "outer", attrs_file: str | None = None, combine_attrs: str = "override", drop_variables=None, loadable_variables=None, decode_times: bool = True,
+    combine: str = "by_coords", join: str = "outer", attrs_file: str | None = None, combine_attrs: str = "override", drop_variables=None, loadable_variables=None, decode_times: bool = True, parallel: bool | str | None = None,
 ) -> VDataset:
-    """Many files as one dataset; parsing runs as one job for parsers of single files."""
+    """Many files as one dataset; parsing runs as one job for parsers of single files. ``parallel`` may say so: True, False, None or 'spark' are alike."""
+    if parallel not in (None, True, False, "spark"):
+        raise ValueError(f"Invalid value for `parallel`: {parallel!r}; files are parsed by Spark tasks")
     urls = _paths(spark, urls)
     flat = _flat(urls)
     if not flat:

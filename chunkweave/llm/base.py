@@ -6,9 +6,12 @@ Texts travel as UTF-8 bytes.  ``bytes.lower`` lowers A-Z alone and ``bytes.split
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(column: pa.Array) -> list[bytes | None]:
-    """UTF-8 bytes of each text; None where the text is null."""
-    return column.cast(pa.large_binary()).to_pylist() if pa.types.is_large_string(column.type) else column.cast(pa.binary()).to_pylist()
+def texts(column: pa.Array) -> Iterator[bytes | None]:
+    """UTF-8 bytes of each text, one at a time; None where the text is null."""
+    return (x.as_py() for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()))
 
 
 def fold(modulus: int, doc_id: str = "doc_id") -> Column:
@@ -82,13 +85,35 @@ def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     return out
 
 
-#: Per Python worker: the newest of each kind that was built there, with its key.
-_BUILT: dict = {}
+#: Most bytes that Python is sent at once, whatever the length of the texts.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches() -> None:
+    """Bound by size what the session's Python workers get at once, unless the session has a bound of its own."""
+    spark = SparkSession.getActiveSession()
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is not None and spark.conf.get(name) == "67108864b":  # Spark's own
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+#: Per Python worker: what was built there last, and its key.
+_BUILT: list = [None, None]
 
 
 def built(key: tuple, make):
-    """``make()`` once per Python worker and key (kind, ...); one of a kind is kept, as workers outlive queries."""
-    if key[0] not in _BUILT or _BUILT[key[0]][0] != key:
-        _BUILT.pop(key[0], None)
-        _BUILT[key[0]] = (key, make())
-    return _BUILT[key[0]][1]
+    """``make()`` once per Python worker and key; only the last is kept, as workers outlive queries."""
+    if _BUILT[0] != key:
+        if _BUILT[0] is not None:
+            _BUILT[:] = [None, None]
+            _released()
+        _BUILT[:] = [key, make()]
+    return _BUILT[1]
+
+
+def _released() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

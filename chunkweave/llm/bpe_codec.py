@@ -136,6 +136,8 @@ def _codec(path: str) -> Codec:
 def digest(text: Column, path: str) -> Column:
     """A struct of :data:`RESULT` for each text."""
 
+    base.small_batches()
+
     @arrow_udf(RESULT)
     def run(column: pa.Array) -> pa.Array:
         codec, n, ids, decoded = _codec(path), [], [], []
@@ -153,6 +155,8 @@ def encode(text: Column, path: str) -> Column:
     """A struct of :data:`FULL` for each text: token ids and the decoded text."""
     import numpy as np
 
+    base.small_batches()
+
     @arrow_udf(FULL)
     def run(column: pa.Array) -> pa.Array:
         codec, ids, decoded = _codec(path), [], []

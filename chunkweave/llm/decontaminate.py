@@ -245,6 +245,7 @@ def _merged(batches):
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, spans and item_ids of each row of ``docs`` (doc_id, text)."""
+    base.small_batches()
     all_blocks = blocks(items, block_words)
     block = next(all_blocks, None)
     following = next(all_blocks, None)

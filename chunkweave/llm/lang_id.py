@@ -41,6 +41,7 @@ def _words(text: str) -> list[str]:
 
 def _count(batches):
     """Words (size 0) and n-grams of the batches' texts, counted before the shuffle; at most about ``FLUSH`` are held."""
+    base.built(("grams",), dict)
     found: Counter = Counter()
 
     def out():
@@ -63,6 +64,7 @@ def _count(batches):
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, entries: int = ENTRIES) -> dict:
     """Model of ``docs`` (doc_id, text, lang), to be passed to :func:`predict`. Leave held-out rows out beforehand."""
+    base.small_batches()
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and text is not null and doc_id is not null")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
     if not sizes:
@@ -143,6 +145,7 @@ class Scorer:
 
 def predict(text: Column, model: dict, spark) -> Column:
     """A struct of :data:`RESULT` for each text."""
+    base.small_batches()
     sent = spark.sparkContext.broadcast(model)
     key = ("lang", model["id"])
 

@@ -196,6 +196,7 @@ def word_counts(docs: DataFrame, learn: Column) -> DataFrame:
         def out(found):
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
 
+        base.built(("counts",), dict)
         found: Counter = Counter()
         for batch in batches:
             for text, learned in zip(base.texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
@@ -254,6 +255,7 @@ def scored_words(words: DataFrame, logp: np.ndarray, path: str) -> DataFrame:
 
 def score(docs: DataFrame, path: str | None = None, modulus: int = 7, remainder: int = 2, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``."""
+    base.small_batches()
     path = path or default_path()
     counted = word_counts(docs, ~base.held_out(modulus, remainder))
     total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v")).first()

@@ -199,5 +199,6 @@ def describe(png: Column) -> Column:
 
 def media_features(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: its text stored as PNG, read back, and described."""
+    base.small_batches()
     kept = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), png_column(F.col("text")).alias("png"))
     return kept.select("doc_id", "n_bytes", describe(F.col("png")).alias("r")).select("doc_id", "n_bytes", "r.*")

@@ -49,7 +49,7 @@ SIGN_BITS, SIGN_SIZE = 1024, 1500
 #: Counters of the sketch, as a power of two; bits of the filter of sets that are needed again.
 SKETCH_BITS, WORD_BITS, FILTER_BITS = 22, 20, 23
 SLICE = 1 << 14
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 HEADS = "doc_id long, n long, node long, head array<long>, sign binary"
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _ODD = [np.uint64(x | 1) for x in (0x8CB92BA72F3D8DD6, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C4, 0x165667B19E3779F8, 0xD6E8FEB86659FD92)]
@@ -71,12 +71,10 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
-
 
 def word_hashes(text: bytes | None) -> np.ndarray:
     words = text.lower().split() if text else []
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(base.built(("words",), _Words).__getitem__, words), np.uint64, len(words))
 
 
 def _windows(words: np.ndarray, size: int) -> np.ndarray:
@@ -143,8 +141,9 @@ def _vectors(df: DataFrame, of, length: int, join, kind) -> np.ndarray:
 
     def cut(batches):
         whole = of(batches)
-        k = range(0, length, size)
-        yield pa.RecordBatch.from_arrays([pa.array([i // size for i in k], pa.int32()), pa.array([whole[i : i + size].tobytes() for i in k], pa.binary())], ["slice", "part"])
+        for a in range(0, length, 32 * size):
+            k = range(a, min(length, a + 32 * size), size)
+            yield pa.RecordBatch.from_arrays([pa.array([i // size for i in k], pa.int32()), pa.array([whole[i : i + size].tobytes() for i in k], pa.binary())], ["slice", "part"])
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
@@ -155,7 +154,7 @@ def _vectors(df: DataFrame, of, length: int, join, kind) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["slice", "part"])
 
     schema = "slice int, part binary"
-    rows = df.mapInArrow(cut, schema).repartition(min(16, length // size), "slice").mapInArrow(merge, schema).toArrow()
+    rows = df.mapInArrow(cut, schema).repartition(min(length // size, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "slice").mapInArrow(merge, schema).toArrow()
     out = np.zeros(length, kind)
     for k, part in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
         out[k * size : (k + 1) * size] = join(out[k * size : (k + 1) * size], np.frombuffer(part, kind))
@@ -441,6 +440,7 @@ def links(docs: DataFrame, lead: DataFrame, size: int, per_cent: int, block: int
 
 def join(docs: DataFrame, size: int = SIZE, per_cent: int = PER_CENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text)."""
+    base.small_batches()
     docs = docs.select("doc_id", "text")
     lead = heads(docs, size, per_cent)
     stars = base.settled(lambda: components(links(docs, lead, size, per_cent, block)), "components")

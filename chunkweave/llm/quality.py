@@ -69,7 +69,13 @@ def features(text: bytes | None) -> list[float]:
 
 def feature_column(text: Column) -> Column:
     """Array of the features of each text."""
-    return arrow_udf(lambda c: pa.array([features(t) for t in base.texts(c)], pa.list_(pa.float64())), "array<double>")(text)
+    base.small_batches()
+
+    def run(column: pa.Array) -> pa.Array:
+        base.built(("features",), dict)
+        return pa.array([features(t) for t in base.texts(column)], pa.list_(pa.float64()))
+
+    return arrow_udf(run, "array<double>")(text)
 
 
 def _gain(g: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -168,12 +174,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
 def predict(text: Column, model: dict, spark) -> Column:
     """Score of each text, 0 to 1."""
+    base.small_batches()
     sent = spark.sparkContext.broadcast(model)
 
     @arrow_udf("double")
     def run(column: pa.Array) -> pa.Array:
+        model = base.built(("quality", sent.value["id"]), lambda: sent.value)
         rows = [features(t) for t in base.texts(column)]
-        return pa.array(score(sent.value, np.array(rows, dtype=float).reshape(-1, len(FEATURES))), pa.float64())
+        return pa.array(score(model, np.array(rows, dtype=float).reshape(-1, len(FEATURES))), pa.float64())
 
     return run(text)
 

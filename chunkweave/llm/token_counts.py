@@ -208,6 +208,7 @@ def _counted(text: Column, edits: Column, path: str, of, kept: bool) -> Column:
         cols = list(zip(*rows, strict=True)) or [()] * 7
         return pa.StructArray.from_arrays([pa.array(c, pa.string() if i == 6 else pa.int64()) for i, c in enumerate(cols)], [x.split()[0] for x in RESULT.split(", ")])
 
+    base.small_batches()
     return arrow_udf(run, RESULT)(text, edits)
 
 

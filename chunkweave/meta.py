@@ -68,6 +68,17 @@ def jsonable(value: Any) -> Any:
     return value
 
 
+def encode_cf_fill_value(value: Any, dtype: Any) -> Any:
+    """A ``_FillValue`` attribute as metadata hold it: base64 of a little-endian double for floats, text for bytes, else a number."""
+    dtype = np.dtype(dtype)
+    value = np.asarray(value).ravel()[0]
+    if dtype.kind == "f":
+        return base64.standard_b64encode(np.array(value, "<f8").tobytes()).decode()
+    if dtype.kind == "c":
+        return [encode_cf_fill_value(x, "<f8") for x in (value.real, value.imag)]
+    return jsonable(value)
+
+
 def codec_from_v2(config: dict) -> dict:
     """numcodecs configuration to a named codec."""
     name = config["id"]

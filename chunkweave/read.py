@@ -69,6 +69,28 @@ def read_bytes(arr: VArray, start: int | None = None, end: int | None = None, su
     return refs.repartition(parts, "path", F.expr("offset div 268435456")).sortWithinPartitions("path", "offset").mapInArrow(_ranges, "idx array<bigint>, bytes binary")
 
 
+def get(group, key: str, start: int | None = None, end: int | None = None, suffix: int | None = None) -> bytes | None:
+    """The document or chunk under a store key such as ``air/c.0.0``; None where there is none, as for version 2 documents.
+
+    A part of a chunk is [start, end), from ``start`` on, or the last ``suffix`` bytes.
+    """
+    node, rest = group.deepest(key)
+    if rest.rpartition("/")[2] in (".zarray", ".zattrs", ".zgroup", ".zmetadata"):
+        return None
+    if not isinstance(node, VArray):
+        if rest == "zarr.json":
+            return json.dumps({"zarr_format": 3, "node_type": "group", "attributes": node.attributes}).encode()
+        if rest:
+            return None
+        raise ValueError(f"{key!r} is a group, not a document or chunk")
+    if rest == "zarr.json":
+        return json.dumps(node.meta.to_v3()).encode()
+    idx = keys.parse_store_key(rest, "/" if "/" in rest else ".")
+    at = F.array(*[F.lit(i).cast("bigint") for i in idx]) if idx else F.array().cast("array<bigint>")
+    rows = read_bytes(VArray(node.meta, node.refs.where(F.col("idx") == at)), start, end, suffix).collect()
+    return bytes(rows[0]["bytes"]) if rows else None
+
+
 # codecs
 
 

@@ -483,6 +483,27 @@ def test_store(spark, ds, tmp_path):
         s.write(VDataset({"q": Loaded(("y",), np.arange(2))}), group="plain")
 
 
+def test_get_and_store_parser(spark, tmp_path):
+    from chunkweave.meta import encode_cf_fill_value
+    from chunkweave.sources import StoreParser
+
+    (tmp_path / "f").write_bytes(b"xx\1\2\3\4yy")
+    v = VArray.from_dict(spark, ArrayMeta((8,), (4,), "u1", dims=("x",)), {"0": {"path": str(tmp_path / "f"), "offset": 2, "length": 4}})
+    s = Store(spark, str(tmp_path / "st"), ["file:///"])
+    s.write(VDataset({"v": v}, attributes={"k": 1}))
+    g = StoreParser(branch="main")(spark, str(tmp_path / "st"))
+    assert read.get(g, "v/c.0") == b"\1\2\3\4" and read.get(g, "v/c/0", suffix=1) == b"\4" and read.get(g, "v/c.1") is None
+    assert json.loads(read.get(g, "v/zarr.json"))["shape"] == [8] and json.loads(read.get(g, "zarr.json"))["attributes"] == {"k": 1}
+    assert read.get(g, "v/.zarray") is None and read.get(g, "nope") is None
+    with pytest.raises(ValueError):
+        read.get(g, "")
+    with pytest.raises(ValueError):
+        StoreParser(branch="a", tag="b")
+    with pytest.raises(ValueError, match="Invalid value for `parallel`"):
+        api.open_virtual_mfdataset(spark, ["/x"], NetCDF3Parser(), parallel="dask")
+    assert encode_cf_fill_value(1.0, "f4") == "AAAAAAAA8D8=" and encode_cf_fill_value(np.int16(-9), "i2") == -9 and read._cf_fill("AAAAAAAA8D8=", np.dtype("f4")) == 1.0
+
+
 def test_append_and_region(spark, tmp_path):
     s = Store(spark, str(tmp_path / "st"), ["file:///"])
     a, b = piece(spark, 0), piece(spark, 2, first=100)
