@@ -12,14 +12,16 @@ split again.
 Cases: a null text is an empty one; an empty text has no tokens; edits beyond the end are clipped to it; an
 edit may be empty, or leave the text as it is; edits of one document are applied in order of (seq, start,
 end, replacement), each on the text that the one before left; edits of unknown or null documents have no
-effect; rows alike in id each get all edits of that id.
+effect; rows alike in id each get all edits of that id; a kept tree that doesn't fit its text is refused.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -28,7 +30,7 @@ from . import base
 #: Pre-tokens in a leaf when a tree is built; a leaf of four times as many is a reason to build anew.
 LEAF = 64
 KEPT_WORDS = 400_000
-RESULT = "n_pretokens long, n_tokens long, n_edits long, n_reencoded long, n_pretokens_after long, n_tokens_after long, text_after string"
+RESULT = "n_pretokens long, n_tokens long, n_edits long, n_reencoded long, n_pretokens_after long, n_tokens_after long"
 #: What the query redacts: addresses, and numbers of seven digits or more with their separators.
 REDACT = regex.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\+?\(?\d(?:[ ().-]{0,2}\d){6,}")
 REPLACEMENT = "[redacted]"
@@ -61,10 +63,22 @@ class Counter:
 class Tree:
     """The pre-tokens of one text. blocks: lists of (pre-token, tokens); chars and tokens: sums, node k over nodes 2k and 2k + 1."""
 
-    def __init__(self, counter: Counter, text: str):
+    def __init__(self, counter: Counter, text: str, lengths: list[int] | None = None, counts: list[int] | None = None):
+        """With the lengths and counts of a tree that was kept, nothing is split or encoded."""
         self.counter, self.reencoded = counter, 0
-        pieces = counter.pattern.findall(text)
-        self._build(pieces, counter.counts(pieces))
+        if lengths is None or counts is None:
+            pieces = counter.pattern.findall(text)
+            counts = counter.counts(pieces)
+        else:
+            ends = list(itertools.accumulate(lengths, initial=0))
+            if ends[-1] != len(text) or len(counts) != len(lengths):
+                raise ValueError("the kept tree belongs to another text")
+            pieces = [text[a:b] for a, b in itertools.pairwise(ends)]
+        self._build(pieces, list(counts))
+
+    def kept(self) -> tuple[list[int], list[int]]:
+        """Lengths and counts of the leaves' pre-tokens, from which the tree comes back."""
+        return [len(p) for b in self.pieces for p in b], [c for b in self.counted for c in b]
 
     def _build(self, pieces: list[str], counts: list[int]) -> None:
         leaves = max(1, -(-len(pieces) // LEAF))
@@ -194,36 +208,70 @@ def redactions(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), REPLACEMENT) for m in REDACT.finditer(text)][::-1]
 
 
-def _counted(text: Column, edits: Column, path: str, of, kept: bool) -> Column:
-    def run(column: pa.Array, given: pa.Array) -> pa.Array:
-        counter, rows = _counter(path), []
-        for t, own in zip(column.to_pylist(), given.to_pylist(), strict=True):
-            t = t or ""
-            tree = Tree(counter, t)
-            before = tree.n_pretokens, tree.n_tokens
-            changes = of(t, own)
-            for start, end, replacement in changes:
-                tree.edit(start, end, replacement)
-            rows.append((*before, len(changes), tree.reencoded, tree.n_pretokens, tree.n_tokens, tree.text() if kept else None))
-        cols = list(zip(*rows, strict=True)) or [()] * 7
-        return pa.StructArray.from_arrays([pa.array(c, pa.string() if i == 6 else pa.int64()) for i, c in enumerate(cols)], [x.split()[0] for x in RESULT.split(", ")])
+TREE = "n_tokens long, lengths array<int>, counts array<int>"
+EDITED = "text string, n_tokens long, lengths array<int>, counts array<int>, n_tokens_before long, n_edits long, n_reencoded long"
+
+
+def _arrays(rows: list[tuple], schema: str) -> pa.Array:
+    kinds = {"string": pa.string(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}
+    fields = [f.split() for f in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.StructArray.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], [n for n, _ in fields])
 
+
+def trees(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, text and the kept tree of each row of ``docs``: n_tokens, lengths and counts. Store it, and give it to :func:`apply_edits`."""
+    path = path or default_path()
     base.small_batches()
-    return arrow_udf(run, RESULT)(text, edits)
+
+    def run(column: pa.Array) -> pa.Array:
+        counter, rows = _counter(path), []
+        for t in column:
+            tree = Tree(counter, t.as_py() or "")
+            rows.append((tree.n_tokens, *tree.kept()))
+        return _arrays(rows, TREE)
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), arrow_udf(run, TREE)(F.col("text")).alias("r")).select("doc_id", "text", "r.*")
 
 
-def apply_edits(docs: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
-    """Counts before and after, and the text after, of each row of ``docs`` (doc_id, text) under ``edits`` (doc_id, seq, start, end, replacement).
+def apply_edits(kept: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
+    """The trees of :func:`trees` after ``edits`` (doc_id, seq, start, end, replacement), in the same columns and n_tokens_before, n_edits and n_reencoded.
 
-    A document's edits meet in one row, as each builds on the one before.
+    Only what an edit touches is split and encoded.  A document's edits meet in one row, as each builds on
+    the one before; documents without edits pass through.
     """
+    path = path or default_path()
+    base.small_batches()
     e = edits.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("seq", "start", "end")], F.coalesce("replacement", F.lit("")).alias("replacement")))).alias("edits"))
-    of = lambda _, own: [(x["start"], x["end"], x["replacement"]) for x in own or ()]
-    return docs.select("doc_id", "text").join(e, "doc_id", "left").select("doc_id", _counted(F.col("text"), F.col("edits"), path or default_path(), of, True).alias("r")).select("doc_id", "r.*")
+
+    def run(text: pa.Array, lengths: pa.Array, counts: pa.Array, given: pa.Array) -> pa.Array:
+        counter, rows = _counter(path), []
+        for t, n, c, own in zip(text, lengths, counts, given, strict=True):
+            tree = Tree(counter, t.as_py(), n.as_py(), c.as_py())
+            before, own = tree.n_tokens, own.as_py() or []
+            for x in own:
+                tree.edit(x["start"], x["end"], x["replacement"])
+            rows.append((tree.text(), tree.n_tokens, *tree.kept(), before, len(own), tree.reencoded))
+        return _arrays(rows, EDITED)
+
+    joined = kept.select("doc_id", "text", "lengths", "counts").join(e, "doc_id", "left")
+    return joined.select("doc_id", arrow_udf(run, EDITED)(F.col("text"), F.col("lengths"), F.col("counts"), F.col("edits")).alias("r")).select("doc_id", "r.*")
 
 
 def redacted_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Token counts of each row of ``docs`` before and after redaction."""
-    of = lambda t, _: redactions(t)
-    out = docs.select("doc_id", _counted(F.col("text"), F.lit(None).cast("int"), path or default_path(), of, False).alias("r")).select("doc_id", "r.*")
-    return out.drop("text_after")
+    path = path or default_path()
+    base.small_batches()
+
+    def run(column: pa.Array) -> pa.Array:
+        counter, rows = _counter(path), []
+        for t in column:
+            t = t.as_py() or ""
+            tree = Tree(counter, t)
+            before, changes = (tree.n_pretokens, tree.n_tokens), redactions(t)
+            for change in changes:
+                tree.edit(*change)
+            rows.append((*before, len(changes), tree.reencoded, tree.n_pretokens, tree.n_tokens))
+        return _arrays(rows, RESULT)
+
+    return docs.select("doc_id", arrow_udf(run, RESULT)(F.col("text")).alias("r")).select("doc_id", "r.*")

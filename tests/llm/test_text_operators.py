@@ -167,9 +167,17 @@ def test_redacted_counts(edge_docs, edge_rows, counter):
 def test_apply_edits(spark, counter):
     docs = spark.createDataFrame([(1, "hello world"), (1, "hello world"), (2, None), (3, "abc")], "doc_id long, text string")
     edits = spark.createDataFrame([(1, 2, 5, 99, "!"), (1, 1, 0, 5, "HELLO there"), (2, 1, 0, 0, "new"), (9, 1, 0, 1, "x"), (None, 1, 0, 1, "x"), (3, 1, None, 1, None)], "doc_id long, seq int, start int, end int, replacement string")
-    got = sorted((r["doc_id"], r["text_after"], r["n_edits"], r["n_tokens_after"]) for r in rows(token_counts.apply_edits(docs, edits)))
+    kept = token_counts.trees(docs)
     n = lambda s: len(counter.encoding.encode_ordinary(s))
+    once = token_counts.apply_edits(kept, edits)
+    got = sorted((r["doc_id"], r["text"], r["n_edits"], r["n_tokens"]) for r in rows(once))
     assert got == [(1, "HELLO!", 2, n("HELLO!"))] * 2 + [(2, "new", 1, n("new")), (3, "bc", 1, n("bc"))]
+    # a tree that was kept goes on where it was
+    again = rows(token_counts.apply_edits(once, spark.createDataFrame([(2, 1, 3, 3, "er words")], edits.schema)))
+    assert [(r["text"], r["n_tokens"], r["n_tokens_before"]) for r in again if r["doc_id"] == 2] == [("newer words", n("newer words"), n("new"))]
+    assert all(sum(r["counts"]) == r["n_tokens"] and sum(r["lengths"]) == len(r["text"]) for r in again)
+    with pytest.raises(ValueError):
+        token_counts.Tree(counter, "abc", [1], [1])
 
 
 # 5
