@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, decontaminate, lang_id, lattice_lm, media, ngram_join, quality, sharding, token_counts, url_filter
+from . import bpe_codec, decontaminate, lang_id, lattice_lm, media, ngram_join, oracles, quality, sharding, token_counts, url_filter
 from .base import table
 
 QUERIES: dict = {}
@@ -43,16 +43,16 @@ def op9(spark, sf_dir):
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
-@_query("op6_sharding")
+@_query("op6_sharding", oracles.shards())
 def op6(spark, sf_dir):
     """Shard and slot of every document, law of near-equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-@_query("op10_url_filters")
+@_query("op10_url_filters", oracles.urls())
 def op10(spark, sf_dir):
     """Verdict on the url of every page."""
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
 _OP1 = r"""
