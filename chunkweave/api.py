@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable, Iterable
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +89,7 @@ def open_virtual_mfdataset(
     if combine == "by_coords" and concat_dim is not None:
         raise ValueError("concat_dim can't be given together with combine='by_coords'")
     opened: dict = {}
+    rows = None
     if isinstance(parser, FileParser):
         names = [keys.uri(u) for u in flat]
         rows = parser.rows(spark, names).cache()
@@ -101,7 +103,11 @@ def open_virtual_mfdataset(
         opened = {u: preprocess(d) for u, d in opened.items()}
     place = lambda x: [place(y) for y in x] if isinstance(x, (list, tuple)) else opened[x]
     options = {"join": join, "combine_attrs": combine_attrs, "data_vars": data_vars, "coords": coords}
-    if combine == "nested":
+    one = _one_dim([opened[u] for u in flat], concat_dim if combine == "nested" and flat == urls else None, combine) if rows is not None and preprocess is None else None
+    if one is not None:
+        dim, order = one
+        out = _one_pass(rows.where(F.col("grp") == (parser.group or "").strip("/")), [opened[flat[k]] for k in order], dim, options)
+    elif combine == "nested":
         out = D.combine_nested(place(urls), concat_dim, compat="override" if compat == "override" else "equals", **options)
     else:
         out = D.combine_by_coords([opened[u] for u in flat], **options)
@@ -110,6 +116,51 @@ def open_virtual_mfdataset(
     return out
 
 
+def _one_dim(datasets: list[VDataset], concat_dim: str | None, combine: str) -> tuple[str, list[int]] | None:
+    """The one existing dimension that the files differ in and their order, if one pass over all references will do: every virtual variable has it, all else is alike."""
+    first = datasets[0]
+    if any(d.variables.keys() != first.variables.keys() or d.virtual.keys() != first.virtual.keys() for d in datasets) or not first.virtual:
+        return None
+    differ = [d for d in first.sizes if isinstance(first.variables.get(d), Loaded) and any(not D._same_values(x._index(d), first._index(d)) for x in datasets[1:])]
+    dim = concat_dim if combine == "nested" else differ[0] if len(differ) == 1 else None
+    if dim not in first.sizes or any(d != dim for d in differ) or any(dim not in (v.meta.dims or ()) for v in first.virtual.values()):
+        return None
+    if combine == "nested":
+        return dim, list(range(len(datasets)))
+    labels = [d._index(dim) for d in datasets]
+    falls = {bool(i[0] > i[-1]) for i in labels if len(i) > 1} or {False}
+    if len(falls) > 1 or any(not len(i) for i in labels):
+        return None
+    order = sorted(range(len(labels)), key=lambda k: labels[k][0], reverse=falls.pop())
+    whole = np.concatenate([labels[k] for k in order])
+    if not (np.all(whole[:-1] < whole[1:]) or np.all(whole[:-1] > whole[1:])):
+        return None  # the general way names the error
+    return dim, order
+
+
+def _one_pass(rows, datasets: list[VDataset], dim: str, options: dict) -> VDataset:
+    """Concatenate files that were parsed into one relation: loaded variables on the driver, each virtual one by one join with the files' shifts."""
+    names = list(datasets[0].virtual)
+    out = D.concat([d.drop_vars(names) for d in datasets], dim, **options) if len(datasets[0].variables) > len(names) else VDataset({}, (), D.combine_attributes([d.attributes for d in datasets], options["combine_attrs"]))
+    files = [d.encoding["source"] for d in datasets]
+    made = {n: _joined(rows, n, files, [d[n].meta for d in datasets], dim) for n in names}
+    return VDataset({n: made.get(n, out.variables.get(n)) for n in datasets[0].variables}, datasets[0].coords, out.attributes, datasets[0].encoding)
+
+
+def _joined(rows, name: str, files: list[str], metas: list, dim: str) -> VArray:
+    from .operators import checks
+
+    checks.same_ndim(metas)
+    checks.combinable(metas)
+    axis = metas[0].dims.index(dim)
+    checks.same_shape_except(metas, {axis})
+    checks.no_partial_chunks(metas, axis)
+    order = rows.sparkSession.createDataFrame([(f, k, m.grid[axis]) for k, (f, m) in enumerate(zip(files, metas, strict=True))], "file string, ord bigint, grid_len bigint")
+    shape = tuple(sum(m.shape[axis] for m in metas) if i == axis else s for i, s in enumerate(metas[0].shape))
+    own = rows.where((F.col("kind") == "chunk") & (F.col("name") == name))
+    return VArray(metas[0].replace(shape=shape), concat_files(own, order, axis).select("idx", "path", "offset", "length", "data"))
+
+
 def concat_parsed(spark: SparkSession, parser: FileParser, urls: list[str], dim: str, order: Callable[[str], object] | None = None) -> VDataset:
     """Files of one layout concatenated along a dimension in one job each variable, whatever their number.
 
@@ -118,11 +169,10 @@ def concat_parsed(spark: SparkSession, parser: FileParser, urls: list[str], dim:
     """
     names = [keys.uri(u) for u in urls]
     names.sort(key=order) if order else None
-    rows = parser.rows(spark, names)
+    rows = parser.rows(spark, names).where(F.col("grp") == (parser.group or "").strip("/"))
     import json
 
     from .meta import ArrayMeta
-    from .operators import checks
 
     found: dict[str, dict[str, ArrayMeta]] = {}
     for r in rows.where("kind = 'array'").select("file", "name", "meta").toLocalIterator():
@@ -130,18 +180,11 @@ def concat_parsed(spark: SparkSession, parser: FileParser, urls: list[str], dim:
     out = {}
     for n, by_file in found.items():
         metas = [by_file[f] for f in names]
-        checks.same_ndim(metas)
-        checks.combinable(metas)
-        own = rows.where((F.col("kind") == "chunk") & (F.col("name") == n))
-        if dim not in (metas[0].dims or ()):
-            out[n] = VArray(metas[0], own.where(F.col("file") == names[0]).select("idx", "path", "offset", "length", "data"))
-            continue
-        axis = metas[0].dims.index(dim)
-        checks.same_shape_except(metas, {axis})
-        checks.no_partial_chunks(metas, axis)
-        files = spark.createDataFrame([(f, k, m.grid[axis]) for k, (f, m) in enumerate(zip(names, metas, strict=True))], "file string, ord bigint, grid_len bigint")
-        shape = tuple(sum(m.shape[axis] for m in metas) if i == axis else s for i, s in enumerate(metas[0].shape))
-        out[n] = VArray(metas[0].replace(shape=shape), concat_files(own, files, axis).select("idx", "path", "offset", "length", "data"))
+        if dim in (metas[0].dims or ()):
+            out[n] = _joined(rows, n, names, metas, dim)
+        else:
+            own = rows.where((F.col("kind") == "chunk") & (F.col("name") == n) & (F.col("file") == names[0]))
+            out[n] = VArray(metas[0], own.select("idx", "path", "offset", "length", "data"))
     return VDataset(out)
 
 

@@ -112,9 +112,12 @@ def missing_chunks(arr: VArray) -> DataFrame:
     """idx of the grid positions without a chunk."""
     if 0 in arr.grid:
         return arr.spark.createDataFrame([], "idx array<bigint>")
-    full = arr.spark.range(1).select(F.array().cast("array<bigint>").alias("idx"))
-    for n in arr.grid:
-        full = full.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).select(F.concat("idx", F.array("_i")).alias("idx"))
+    # positions are numbered, so that making them is spread over the tasks
+    idx, stride = [], 1
+    for n in reversed(arr.grid):
+        idx.insert(0, F.expr(f"(id div {stride}) % {n}"))
+        stride *= n
+    full = arr.spark.range(stride).select((F.array(*idx) if idx else F.array().cast("array<bigint>")).alias("idx"))
     return full.join(arr.refs.select("idx"), "idx", "left_anti")
 
 
