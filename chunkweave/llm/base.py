@@ -86,7 +86,7 @@ def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
 
 
 #: Most bytes that Python is sent at once, whatever the length of the texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches() -> None:
@@ -108,6 +108,7 @@ def built(key: tuple, make):
             _BUILT[:] = [None, None]
             _released()
         _BUILT[:] = [key, make()]
+        _released()
     return _BUILT[1]
 
 

@@ -28,16 +28,16 @@ from . import base
 #: Symbols (bytes of UTF-8) in a leaf of the tree.
 LEAF = 512
 #: Words kept per worker; the store is emptied when it is full.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 120_000
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-FULL = "ids array<int>, decoded string"
+FULL, IDS = "ids array<int>, decoded string", "ids array<int>, decoded_sha256 string"
 
 
 class Codec:
     """Encodes as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``; decodes as its ``decode``."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -46,10 +46,7 @@ class Codec:
         self.tokenizer.no_padding()
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        # outer ends words, inner doesn't: for leaves and windows that stop inside a word
-        self.outer = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix or None))
-        self.inner = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
+        self._path, self._inner = path, None
         self.ids = self.tokenizer.get_vocab(with_added_tokens=True)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -66,6 +63,22 @@ class Codec:
             spare += not shown
         self._forget()
 
+    @property
+    def inner(self):
+        """The model without word ends, for leaves and windows that stop inside a word; built when a long word comes."""
+        if self._inner is None:
+            from tokenizers import Tokenizer, models
+
+            with open(self._path, encoding="utf-8") as f:
+                model = json.load(f)["model"]
+            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+            self._inner = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
+        return self._inner
+
+    def _ended(self, word: str) -> list[str]:
+        """Tokens of a whole word, by the library's model."""
+        return [t.value for t in self.tokenizer.model.tokenize(word)]
+
     def _forget(self):
         self.packed: dict[str, bytes] = {}
         self.shown: dict[str, bytes] = {}
@@ -77,9 +90,9 @@ class Codec:
     def encode_word(self, word: str, leaf: int = LEAF) -> list[str]:
         """Tokens of one word in the byte alphabet, ended by the suffix."""
         if len(word) <= leaf:
-            return [t.value for t in self.outer.model.tokenize(word)] if word else []
+            return self._ended(word) if word else []
         leaves = [word[i : i + leaf] for i in range(0, len(word), leaf)]
-        parts = [e.tokens for e in self.inner.encode_batch(leaves[:-1])] + [self.outer.encode(leaves[-1]).tokens]
+        parts = [e.tokens for e in self.inner.encode_batch(leaves[:-1])] + [self._ended(leaves[-1])]
         while len(parts) > 1:
             parts = [self.join(parts[i], parts[i + 1], i + 2 >= len(parts)) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0]
@@ -91,7 +104,7 @@ class Codec:
             a, b = max(0, len(left) - size), min(len(right), size)
             ends = last and b == len(right)
             text = "".join(left[a:]) + "".join(right[:b])
-            window = (self.outer if ends else self.inner).encode(text.removesuffix(self.suffix) if ends else text).tokens
+            window = self._ended(text.removesuffix(self.suffix)) if ends else self.inner.encode(text).tokens
             if (a == 0 or window[:2] == left[a : a + 2]) and (b == len(right) or window[-2:] == right[b - 2 : b]):
                 return left[:a] + window + right[b:]
             size *= 2
@@ -141,8 +154,8 @@ def digest(text: Column, path: str) -> Column:
     @arrow_udf(RESULT)
     def run(column: pa.Array) -> pa.Array:
         codec, n, ids, decoded = _codec(path), [], [], []
-        for t in column.to_pylist():
-            packed, shown = codec.encode(t or "")
+        for t in column:
+            packed, shown = codec.encode(t.as_py() or "")
             n.append(len(packed) // 4)
             ids.append(hashlib.sha256(packed).hexdigest())
             decoded.append(hashlib.sha256(shown).hexdigest())
@@ -151,6 +164,24 @@ def digest(text: Column, path: str) -> Column:
     return run(text)
 
 
+def token_ids(text: Column, path: str) -> Column:
+    """A struct of :data:`IDS` for each text: token ids, and the digest of the decoded text."""
+    import numpy as np
+
+    base.small_batches()
+
+    @arrow_udf(IDS)
+    def run(column: pa.Array) -> pa.Array:
+        codec, ids, decoded = _codec(path), [], []
+        for t in column:
+            packed, shown = codec.encode(t.as_py() or "")
+            ids.append(np.frombuffer(packed, "<u4").astype(np.int32))
+            decoded.append(hashlib.sha256(shown).hexdigest())
+        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["ids", "decoded_sha256"])
+
+    return run(text)
+
+
 def encode(text: Column, path: str) -> Column:
     """A struct of :data:`FULL` for each text: token ids and the decoded text."""
     import numpy as np
@@ -160,8 +191,8 @@ def encode(text: Column, path: str) -> Column:
     @arrow_udf(FULL)
     def run(column: pa.Array) -> pa.Array:
         codec, ids, decoded = _codec(path), [], []
-        for t in column.to_pylist():
-            packed, shown = codec.encode(t or "")
+        for t in column:
+            packed, shown = codec.encode(t.as_py() or "")
             ids.append(np.frombuffer(packed, "<u4").astype(np.int32))
             decoded.append(shown.decode())
         return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["ids", "decoded"])

@@ -182,7 +182,7 @@ def frequency_classes(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
                 if len(words):
                     held.append((np.unique(_windows(words, size)), words))
                     n += len(words)
-                    if n > 1 << 20:
+                    if n > 1 << 18:
                         add()
         add()
         return counts

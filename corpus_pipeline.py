@@ -55,8 +55,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids and digests of each row."""
     path = bpe_codec.default_path()
-    full = docs.select("doc_id", bpe_codec.encode(F.col("text"), path).alias("t"))
-    return full.select("doc_id", F.size("t.ids").cast("long").alias("n_tokens"), F.col("t.ids").alias("token_ids"), F.sha2("t.decoded", 256).alias("decoded_sha256"))
+    full = docs.select("doc_id", bpe_codec.token_ids(F.col("text"), path).alias("t"))
+    return full.select("doc_id", F.size("t.ids").cast("long").alias("n_tokens"), F.col("t.ids").alias("token_ids"), "t.decoded_sha256")
 
 
 STAGES = [

@@ -47,7 +47,7 @@ def test_bpe_tree_is_exact():
     c, rnd = bpe_codec.Codec(bpe_codec.default_path()), random.Random(1)
     for _ in range(60):
         word = c._mapped("".join(rnd.choice(rnd.choice(["abc", "thein", "!#-", "eéo"])) for _ in range(rnd.randint(1, 1500))))
-        assert c.encode_word(word, rnd.choice([3, 7, 20, 100])) == [t.value for t in c.outer.model.tokenize(word)]
+        assert c.encode_word(word, rnd.choice([3, 7, 20, 100])) == [t.value for t in c.tokenizer.model.tokenize(word)]
 
 
 def test_bpe_full_output(edge_docs, library):
