@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """A scanned table, its rows dealt anew where its files give fewer tasks than there are cores: small inputs alone."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def texts(column: pa.Array) -> Iterator[bytes | None]:
     """UTF-8 bytes of each text, one at a time; None where the text is null."""
     return (x.as_py() for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()))

@@ -73,7 +73,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = base.table(spark, sf_dir, "documents")
+    docs = base.dealt(base.table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = base.stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
