@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from chunkweave.llm import base, bpe_codec, decontaminate, lang_id, ngram_join, quality
 
+#: Words of a shingle, and similarity in per cent from which texts are near duplicates; op2 has its own.
+NEAR_SIZE, NEAR_PER_CENT = 5, 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text is in a language."""
@@ -32,7 +35,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """One row of each component of near-equal texts: the one with the smallest id."""
 
     def ids() -> DataFrame:
-        found = ngram_join.join(docs).where("doc_id is not null")
+        found = ngram_join.join(docs, size=NEAR_SIZE, per_cent=NEAR_PER_CENT).where("doc_id is not null")
         first = F.col("doc_id") == F.col("component_id")
         return found.groupBy("doc_id").agg(F.max(first).alias("first"), F.count("*").alias("times"), (F.min("component_id") == F.max("component_id")).alias("same"), F.min("n_shingles").alias("least")).where("not first or times > 1")
 

@@ -53,6 +53,15 @@ def test_stages(spark, sf):
     assert both.where("want <> n_tokens or size(token_ids) <> want").count() == 0
 
 
+def test_near_duplicates_of_five_words(spark, sf):
+    """The stage alone, over all documents: shingles of five words, similarity 0.8 or more."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    given = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    kept = {r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs, sf).collect()}
+    want, narrow = ({i for i, _, c in brute_components(given, *rule) if i == c} for rule in ((5, 80), (3, 90)))
+    assert kept == want and want < narrow
+
+
 def test_edges(spark, edge_docs, no_docs, tmp_path):
     for t, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")
