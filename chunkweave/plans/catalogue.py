@@ -73,11 +73,19 @@ def _(s, sf):
 def _(s, sf):
     return flat(M.lineitem_grid(s, sf)[:500, -1])
 
+@query("int_index_negative_whole", _WITH + "SELECT i0, path, off, len FROM m1 WHERE i1 = 6")
+def _(s, sf):
+    return flat(M.lineitem_grid(s, sf)[:, -1])
+
 
 @query("newaxis", _WITH + "SELECT CAST(0 AS BIGINT) AS i0, i0 AS i1, CAST(0 AS BIGINT) AS i2, i1 AS i3, path, off, len FROM m1 WHERE i0 < 100")
 def _(s, sf):
     return flat(M.lineitem_grid(s, sf)[None, 0:100, None, :])
 
+@query("newaxis_whole", _WITH + "SELECT CAST(0 AS BIGINT) AS i0, i0 AS i1, CAST(0 AS BIGINT) AS i2, i1 AS i3, path, off, len FROM m1")
+def _(s, sf):
+    return flat(M.lineitem_grid(s, sf)[None, :, None, :])
+
 
 @query("sub_chunk_shift", _WITH + "SELECT i0 - 10 AS i0, i1, path, off + 1 * 8 AS off, CAST(2 * 8 AS BIGINT) AS len FROM m1 WHERE i0 = 10")
 def _(s, sf):
@@ -123,11 +131,21 @@ def _(s, sf):
 def _(s, sf):
     return flat(combine.broadcast_to(M.lineitem_grid(s, sf)[:50, :], (3, 50, 7)))
 
+@query("broadcast_prepend_whole", _WITH + "SELECT k AS i0, i0 AS i1, i1 AS i2, path, off, len FROM m1, (SELECT unnest(generate_series(0, 2)) AS k)")
+def _(s, sf):
+    a = M.lineitem_grid(s, sf)
+    return flat(combine.broadcast_to(a, (3, *a.meta.shape)))
+
 
 @query("broadcast_expand", _WITH + "SELECT i0, k AS i1, path, off, len FROM (SELECT * FROM m1 WHERE i1 = 2 AND i0 < 200), (SELECT unnest(generate_series(0, 5)) AS k)")
 def _(s, sf):
     return flat(combine.broadcast_to(M.lineitem_grid(s, sf)[:200, 2:3], (200, 6)))
 
+@query("broadcast_expand_whole", _WITH + "SELECT i0, k AS i1, path, off, len FROM (SELECT * FROM m1 WHERE i1 = 2), (SELECT unnest(generate_series(0, 5)) AS k)")
+def _(s, sf):
+    a = M.lineitem_grid(s, sf)[:, 2:3]
+    return flat(combine.broadcast_to(a, (a.meta.shape[0], 6)))
+
 
 @query("fill_only_concat", _WITH + "SELECT i0 + (SELECT n0 FROM n) AS i0, i1, path, off, len FROM m1")
 def _(s, sf):
@@ -157,6 +175,12 @@ def _(s, sf):
     return flat(combine.replace_box(M.lineitem_grid(s, sf), M.lineitem_grid(s, sf, "l_returnflag = 'R'")[:60, :], {0: 100}))
 
 
+@query("region_upsert_whole", _WITH_R + ", k AS (SELECT max(l_orderkey) + 1 AS n0 FROM lineitem) SELECT m1.* FROM m1 UNION ALL SELECT i0 + n0, i1, path, off, len FROM r, k UNION ALL SELECT i0 + 2 * n0, i1, path, off, len FROM m1, k")
+def _(s, sf):
+    a = M.lineitem_grid(s, sf)
+    return flat(combine.replace_box(combine.concatenate([a, a, a], 0), M.lineitem_grid(s, sf, "l_returnflag = 'R'"), {0: a.grid[0]}))
+
+
 # alignment
 
 
@@ -172,6 +196,7 @@ _indexed("reindex_append_null", lambda n: [*range(2 * n), *[-1] * 8], "SELECT i0
 _indexed("reindex_insert_gap", lambda n: [*range(100), *[-1] * 6, *range(100, 2 * n)], "SELECT CASE WHEN i0 < 50 THEN i0 ELSE i0 + 3 END AS i0, path, off, len FROM d")
 _indexed("reindex_reorder", lambda n: [*range(2 * (n // 2), 2 * n), *range(2 * (n // 2))], "SELECT CASE WHEN i0 >= n0 // 2 THEN i0 - n0 // 2 ELSE i0 + n0 - n0 // 2 END AS i0, path, off, len FROM d, n")
 _indexed("reindex_repeat", lambda n: [*range(20), *range(20)], "SELECT i0 + k AS i0, path, off, len FROM d, (SELECT unnest([0, 10]) AS k) WHERE i0 < 10")
+_indexed("reindex_repeat_whole", lambda n: [*range(2 * n), *range(2 * n)], "SELECT i0 + k AS i0, path, off, len FROM d, n, (SELECT unnest([0, 1]) AS t), LATERAL (SELECT t * n0 AS k)")
 
 
 @query("reindex_reject_count", "SELECT count(*) AS n FROM (SELECT pos // 5 AS dst, min(pos + 1) AS low FROM (SELECT unnest(generate_series(0, 994)) AS pos) GROUP BY 1) WHERE low % 5 <> 0")
@@ -226,6 +251,10 @@ def _(s, sf):
 def _(s, sf):
     return align.missing_chunks(M.lineitem_grid(s, sf)[:300, :]).select(F.get("idx", F.lit(0)).alias("i0"), F.get("idx", F.lit(1)).alias("i1"))
 
+@query("missing_chunks_whole", _WITH + "SELECT a AS i0, b AS i1 FROM (SELECT unnest(generate_series(0, (SELECT n0 - 1 FROM n))) AS a), (SELECT unnest(generate_series(0, 6)) AS b) WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE i0 = a AND i1 = b)")
+def _(s, sf):
+    return align.missing_chunks(M.lineitem_grid(s, sf)).select(F.get("idx", F.lit(0)).alias("i0"), F.get("idx", F.lit(1)).alias("i1"))
+
 
 # comparison and metrics
 
@@ -378,6 +407,10 @@ def _(s, sf):
 def _(s, sf):
     return ref_rows(M.lineitem_grid(s, sf)[:500, :], "v")
 
+@query("kerchunk_refs_rows_whole", _WITH + """SELECT concat('v/', CAST(i0 AS VARCHAR), '.', CAST(i1 AS VARCHAR)) AS key, concat('["', path, '",', CAST(off AS VARCHAR), ',', CAST(len AS VARCHAR), ']') AS value FROM m1""")
+def _(s, sf):
+    return ref_rows(M.lineitem_grid(s, sf), "v")
+
 
 @query("kerchunk_inline_base64", _DOCS + """SELECT concat('doc/', CAST(i0 AS VARCHAR)) AS key, CASE WHEN path IS NULL THEN concat('"base64:', base64(encode(text)), '"') ELSE concat('["', substr(path, 8), '",', CAST(off AS VARCHAR), ',', CAST(len AS VARCHAR), ']') END AS value FROM d""")
 def _(s, sf):
