@@ -8,8 +8,9 @@ block, likewise, along reversed edges, so that whoever links to blocked hosts is
 
 DataFrame expressions alone are used.  Edges are summed by host before they are shuffled; a host's ranks
 travel by equi-joins, and each round's ranks are summed before their shuffle.  A hot host's edges can be
-split by the engine, as both sides of the join are ordinary shuffles.  Rounds are a fixed number; every
-``CUT`` rounds the ranks are written to the shared folder.
+split by the engine, as both sides of the join are ordinary shuffles.  Rounds go on until no host's rank changes
+by more than ``TOLERANCE`` of itself, a host reached for the first time counting as changed, so that hosts
+are judged however far they lie from the seeds; every ``CUT`` rounds the ranks are written to the shared folder and tested.
 
 Cases: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed (the
 empty host has neither trust nor distrust); null html has no links; repeated rows are judged alike, and their links count again.
@@ -25,6 +26,8 @@ from . import base
 #: (host, beginning of the path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING, ROUNDS, CUT, THRESHOLD = 0.85, 8, 4, 1.0
+#: Largest change of a rank, as a share of it, at which ranks are settled; rounds after which they count as never settling.
+TOLERANCE, MOST_ROUNDS = 1e-10, 10_000
 
 
 def _lower(c: Column) -> Column:
@@ -79,19 +82,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def spread(edges: DataFrame, hosts: DataFrame, seed: str, rounds: int = ROUNDS) -> DataFrame:
-    """host, rank: personalised PageRank over (src, dst, n), restarting at hosts by their weight in column ``seed``.
+    """host, rank: a fixed number of rounds of personalised PageRank over (src, dst, n), restarting at hosts by their weight in column ``seed``.
 
     Hosts without links give their rank back to the seeds.
     """
-    whole = hosts.agg(F.sum(seed).alias("seeds"))
-    start = hosts.crossJoin(F.broadcast(whole)).select("host", F.when(F.col("seeds") > 0, F.col(seed) / F.col("seeds")).otherwise(0.0).alias("start"))  # one row on the right
-    out = edges.groupBy(F.col("src")).agg(F.sum("n").alias("all"))
-    weights = base.stored(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("w")), "edges")
-    start = base.stored(start, "start")
+    start, weights = _start(hosts, seed), _weights(edges)
     rank = start.withColumnRenamed("start", "rank")
     for k in range(rounds):
-        moved = weights.join(rank, weights["src"] == rank["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("w") * F.col("rank")).alias("moved"))
-        held = start.join(moved, "host", "left").select("host", "start", F.coalesce("moved", F.lit(0.0)).alias("moved"))
+        held = start.join(_moved(weights, rank), "host", "left").select("host", "start", F.coalesce("moved", F.lit(0.0)).alias("moved"))
         lost = held.agg((F.lit(1.0) - DAMPING * F.sum("moved")).alias("lost"))
         rank = held.crossJoin(F.broadcast(lost)).select("host", (DAMPING * F.col("moved") + F.col("lost") * F.col("start")).alias("rank"))  # one row on the right
         if k % CUT == CUT - 1 and k + 1 < rounds:
@@ -99,6 +97,46 @@ def spread(edges: DataFrame, hosts: DataFrame, seed: str, rounds: int = ROUNDS)
     return rank
 
 
+def _start(hosts: DataFrame, seed: str) -> DataFrame:
+    """host, start; stored."""
+    whole = hosts.agg(F.sum(seed).alias("seeds"))
+    start = hosts.crossJoin(F.broadcast(whole)).select("host", F.when(F.col("seeds") > 0, F.col(seed) / F.col("seeds")).otherwise(0.0).alias("start"))  # one row on the right
+    return base.stored(start, "start")
+
+
+def _weights(edges: DataFrame) -> DataFrame:
+    """src, dst, w: the share of each edge in its source's links; stored."""
+    out = edges.groupBy(F.col("src")).agg(F.sum("n").alias("all"))
+    return base.stored(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("w")), "edges")
+
+
+def _moved(weights: DataFrame, rank: DataFrame) -> DataFrame:
+    return weights.join(rank, weights["src"] == rank["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("w") * F.col("rank")).alias("moved"))
+
+
+def settled_ranks(edges: DataFrame, hosts: DataFrame, seed: str, tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> DataFrame:
+    """host, rank: what :func:`spread` tends to.
+
+    What goes back to the seeds only scales all ranks, so it is left out of the rounds, where ranks grow from the
+    seeds' own; at the end they are divided by their sum.
+    """
+    start, weights = _start(hosts, seed), _weights(edges)
+    rank, last = start.withColumnRenamed("start", "rank"), None
+    for k in range(most):
+        held = start.join(_moved(weights, rank), "host", "left").select("host", (F.col("start") + DAMPING * F.coalesce("moved", F.lit(0.0))).alias("now"))
+        if k % CUT < CUT - 1:
+            rank = held.withColumnRenamed("now", "rank")
+            continue
+        new = base.stored(held.join(rank.withColumnRenamed("rank", "before"), "host"), "rank")
+        if last is not None:
+            base.dropped(last)
+        rank, last = new.select("host", F.col("now").alias("rank")), new
+        if (new.where("now > 0").agg(F.max(F.abs(F.col("now") - F.col("before")) / F.col("now")).alias("c")).first()["c"] or 0.0) <= tolerance:
+            whole = rank.agg(F.sum("rank").alias("whole"))
+            return rank.crossJoin(F.broadcast(whole)).select("host", F.when(F.col("whole") > 0, F.col("rank") / F.col("whole")).otherwise(0.0).alias("rank"))  # one row on the right
+    raise RuntimeError(f"ranks from {seed!r} aren't settled after {most} rounds")
+
+
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule and verdict of each page."""
     url = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -116,7 +154,7 @@ def _host_verdicts(pages: DataFrame, ruled: DataFrame, rules, threshold: float)
     is_ = lambda kind: F.when(F.col("by_rule") == kind, 1.0).otherwise(0.0)
     linked = edges.select(F.col("dst").alias("host")).distinct().withColumn("path", F.lit("/")).withColumn("by_rule", verdict_column(rules)).select("host", is_("allow").alias("good"), is_("block").alias("bad"))
     hosts = base.stored(own.unionByName(linked).groupBy("host").agg(F.max("good").alias("good"), F.max("bad").alias("bad")), "hosts")
-    trust = spread(edges, hosts, "good").withColumnRenamed("rank", "trust")
+    trust = settled_ranks(edges, hosts, "good").withColumnRenamed("rank", "trust")
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = spread(turned, hosts, "bad").withColumnRenamed("rank", "distrust")
+    distrust = settled_ranks(turned, hosts, "bad").withColumnRenamed("rank", "distrust")
     return trust.join(distrust, "host").select("host", "trust", "distrust", F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow").alias("by_graph"))

@@ -260,6 +260,25 @@ def test_pagerank_against_numpy(spark):
     assert np.allclose([got[f"h{k}"] for k in range(n)], rank)
 
 
+def test_ranks_settle(spark):
+    """A host 14 links from the only blocked one, and settled ranks against the linear system."""
+    pages = [(k, f"http://h{k}.dev/1", f'<a href="http://h{k + 1}.dev/">') for k in range(14)] + [(13, "http://h13.dev/1", '<a href="http://bad.net/">'), (14, "http://bad.net/1", ""), (15, "http://alone.dev/1", "")]
+    got = {r["host"]: r["verdict"] for r in rows(url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    assert got.pop("alone.dev") == "allow" and len(got) == 15 and set(got.values()) == {"block"}
+    rnd = np.random.default_rng(6)
+    n = 30
+    w = np.where(rnd.random((n, n)) < 0.08, rnd.integers(1, 5, (n, n)), 0)
+    np.fill_diagonal(w, 0)
+    edges = spark.createDataFrame([(f"h{a}", f"h{b}", int(w[a, b])) for a in range(n) for b in range(n) if w[a, b]], "src string, dst string, n long")
+    hosts = spark.createDataFrame([(f"h{k}", float(k in (1, 4))) for k in range(n)], "host string, good double")
+    out = w.sum(1, keepdims=True)
+    x = np.linalg.solve(np.eye(n) - 0.85 * np.divide(w, out, where=out > 0, out=np.zeros(w.shape)).T, np.isin(np.arange(n), (1, 4)) / 2)
+    rank = {r["host"]: r["rank"] for r in rows(url_filter.settled_ranks(edges, hosts, "good"))}
+    assert np.allclose([rank[f"h{k}"] for k in range(n)], x / x.sum(), rtol=1e-8, atol=0)
+    with pytest.raises(RuntimeError):
+        url_filter.settled_ranks(edges, hosts, "good", most=8)
+
+
 def test_native_plan(spark, sf):
     plan = url_filter.judge(spark.read.parquet(f"{sf}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
