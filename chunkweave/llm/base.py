@@ -22,10 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(docs: DataFrame) -> DataFrame:
-    """A scanned table, its rows dealt anew where its files give fewer tasks than there are cores: small inputs alone."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+#: Setting of a session whose files have fewer row groups than it has cores: how many partitions documents are dealt over. Unset, nothing is dealt.
+DEAL = "chunkweave.documents.partitions"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; dealt anew where the session asks for it by :data:`DEAL`, whatever their number."""
+    docs, n = table(spark, sf_dir, "documents"), spark.conf.get(DEAL, None)
+    return docs.repartition(int(n)) if n else docs
 
 
 def texts(column: pa.Array) -> Iterator[bytes | None]:
@@ -45,9 +49,11 @@ def held_out(modulus: int, remainder: int, doc_id: str = "doc_id") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of its own only where that is unset (local mode)."""
+    """``spark.checkpoint.dir`` of the session; where that is unset, a folder of its own in local mode, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="chunkweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -91,6 +97,20 @@ def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def temporary():
+    """Tables that operators store inside the block are deleted at its end, those that their results read among them.
+
+    Results are lazy and read such tables, so write or collect them inside the block.
+    """
+    _HELD.append([])
+    try:
+        yield
+    finally:
+        for t in _HELD.pop():
+            dropped(t)
+
+
 #: Most bytes that Python is sent at once, whatever the length of the texts.
 BATCH_BYTES = 2 << 20
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import bpe_codec, decontaminate, lang_id, lattice_lm, media, ngram_join, oracles, quality, sharding, token_counts, url_filter
-from .base import dealt, table
+from .base import documents, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -22,31 +22,31 @@ def _query(name: str, sql: str | None = None):
 @_query("op3_media_columns")
 def op3(spark, sf_dir):
     """PNG round trip and cosine-transform hash of every document."""
-    return media.media_features(dealt(table(spark, sf_dir, "documents")))
+    return media.media_features(documents(spark, sf_dir))
 
 
 @_query("op8_bpe_encoding")
 def op8(spark, sf_dir):
     """Token ids and decoded text of every document, as digests."""
-    return bpe_codec.encode_documents(dealt(table(spark, sf_dir, "documents")))
+    return bpe_codec.encode_documents(documents(spark, sf_dir))
 
 
 @_query("op5_quality_classifier")
 def op5(spark, sf_dir):
     """Quality score of every document."""
-    return quality.classify(dealt(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+    return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 @_query("op9_language_id")
 def op9(spark, sf_dir):
     """Language of every document."""
-    return lang_id.identify(dealt(table(spark, sf_dir, "documents")))
+    return lang_id.identify(documents(spark, sf_dir))
 
 
 @_query("op6_sharding", oracles.shards())
 def op6(spark, sf_dir):
     """Shard and slot of every document, law of near-equal bytes."""
-    return sharding.shard(dealt(table(spark, sf_dir, "documents")))
+    return sharding.shard(documents(spark, sf_dir))
 
 
 @_query("op10_url_filters", oracles.urls())
@@ -82,7 +82,7 @@ FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN its USING (doc_id)
 @_query("op1_decontamination", _OP1)
 def op1(spark, sf_dir):
     """Benchmark phrases in every document."""
-    return decontaminate.report(dealt(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 _OP2 = r"""
@@ -105,19 +105,19 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM r G
 @_query("op2_ngram_jaccard_join", _OP2)
 def op2(spark, sf_dir):
     """Components of near-equal documents."""
-    return ngram_join.join(dealt(table(spark, sf_dir, "documents")))
+    return ngram_join.join(documents(spark, sf_dir))
 
 
 @_query("op4_token_counts")
 def op4(spark, sf_dir):
     """Token counts of every document before and after redaction."""
-    return token_counts.redacted_counts(dealt(table(spark, sf_dir, "documents")))
+    return token_counts.redacted_counts(documents(spark, sf_dir))
 
 
 @_query("op7_lattice_lm")
 def op7(spark, sf_dir):
     """Subword-lattice probability of every document."""
-    return lattice_lm.score(dealt(table(spark, sf_dir, "documents")))
+    return lattice_lm.score(documents(spark, sf_dir))
 
 
 @_query("pipeline")
