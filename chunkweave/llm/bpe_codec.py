@@ -1,10 +1,16 @@
-"""BPE encoding and decoding, with tree concatenation for long unsplit text.
+"""BPE encoding and decoding by tree concatenation.
 
-Ordinary words are encoded once and kept; a text is the concatenation of its words' tokens.  A word
-longer than ``LEAF`` symbols is cut into leaves which are encoded side by side, then joined pairwise
-up a tree: around each join a window of tokens is encoded again, growing until its first and last
-tokens are the ones that stood there before.  Both sides then agree: every neighbouring pair of
-tokens comes from a genuine encoding, which for BPE makes the whole sequence the genuine one.
+A text is cut into leaves of ``LEAF`` characters, wherever that falls.  The leaves are encoded side by side,
+then joined pairwise up a tree: around each join a window is encoded again, growing until it agrees with both
+sides.  On the left a window begins where one of the left side's words does, so far before the join that no
+match up to there looked past it.  On the right it ends with the first word that begins at the same place in
+the window and in the right side, so far before the window's end that no match up to there looked past that.
+From such places on both splits are the same, so the joined words are those of the whole.  The tree works on
+texts as the library's normaliser leaves them; marked tokens part a text beforehand.
+
+Words of more than ``WORD_LEAF`` symbols are cut in their turn, and joined by windows of tokens that grow
+until their first and last tokens are the ones that stood there before: every neighbouring pair of tokens
+comes from a genuine encoding, which for BPE makes the whole sequence the genuine one.
 
 Cases: a null text is an empty one; an empty text has no tokens and decodes to ''.  Texts that hold
 characters whose case, class or composition depends on the Unicode version are normalised and split
@@ -15,6 +21,7 @@ skew and very long texts need no care beyond the tree.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 
 import pyarrow as pa
@@ -25,8 +32,10 @@ from pyspark.sql.functions import arrow_udf
 
 from . import base
 
-#: Symbols (bytes of UTF-8) in a leaf of the tree.
-LEAF = 512
+#: Characters in a leaf of a text's tree; symbols (bytes of UTF-8) in a leaf of a long word's.
+LEAF, WORD_LEAF = 1024, 512
+#: Characters on each side of a join that its first window takes; how far a match of the pattern looks past its beginning or its end at most.
+WINDOW, LOOK = 24, 4
 #: Words kept per worker; the store is emptied when it is full.
 KEPT_WORDS = 120_000
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -55,12 +64,15 @@ class Codec:
         # ASCII and Latin letters up to U+024F: stable classes, no composition, simple case
         self.unsafe = regex.compile("[^\t-\r -~¡-įı-ɏ]")
         self.space = regex.compile("[\t-\r ]+")
+        self.joins = 0
         self.map = {}
         spare = 256
         for b in range(256):
             shown = 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255
             self.map[b] = chr(b) if shown else chr(spare)
             spare += not shown
+        #: 1 for symbols that begin a character, 0 for its further bytes
+        self.begins = {shown: b & 0xC0 != 0x80 for b, shown in self.map.items()}
         self._forget()
 
     @property
@@ -87,7 +99,7 @@ class Codec:
         self.packed[word] = b"".join(self.ids[t].to_bytes(4, "little") for t in tokens)
         self.shown[word] = " ".join(tokens).encode()
 
-    def encode_word(self, word: str, leaf: int = LEAF) -> list[str]:
+    def encode_word(self, word: str, leaf: int = WORD_LEAF) -> list[str]:
         """Tokens of one word in the byte alphabet, ended by the suffix."""
         if len(word) <= leaf:
             return self._ended(word) if word else []
@@ -112,7 +124,67 @@ class Codec:
     def _mapped(self, word: str) -> str:
         return "".join(map(self.map.__getitem__, word.encode()))
 
-    def text_words(self, text: str) -> list[str]:
+    def _own(self, text: str) -> list[str]:
+        """Words of a stretch of a plain text, by the compiled pattern; those not yet kept are encoded."""
+        found = self.words.findall(text)
+        for w in {w for w in found if w not in self.packed}:
+            self._keep(w, self.encode_word(self._mapped(w)))
+        return found
+
+    def _library(self, text: str) -> list[str]:
+        """The same for any text, by the library's own splitting: keys are words in the byte alphabet."""
+        found = ["\0" + w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        for key in {k for k in found if k not in self.packed}:
+            self._keep(key, self.encode_word(key[1:]))
+        return found
+
+    def _width(self, key: str) -> int:
+        """Characters of a word."""
+        return sum(self.begins[c] for c in key[1:]) if key[:1] == "\0" else len(key)
+
+    def _starts(self, text: str, at: int, words: list[str], end: int):
+        """Where each of the words begins that were found from ``at`` on, up to ``end``."""
+        for w in words:
+            at += text[at] == " "  # the normaliser leaves single spaces between words
+            if at > end:
+                return
+            yield at
+            at += self._width(w)
+
+    def tree(self, text: str, split, leaf: int = LEAF) -> list[str]:
+        """Words of a normalised text: of its leaves, joined pairwise until one list is left."""
+        cuts = [*range(0, len(text), leaf), len(text)]
+        parts = [(a, b, split(text[a:b])) for a, b in itertools.pairwise(cuts)]
+        while len(parts) > 1:
+            joined = [(a, c, self.concatenated(text, a, b, c, left, right, split)) for (a, b, left), (_, c, right) in zip(parts[::2], parts[1::2], strict=False)]
+            parts = joined + parts[2 * len(joined) :]
+        return parts[0][2] if parts else []
+
+    def concatenated(self, text: str, a: int, b: int, c: int, left: list[str], right: list[str], split) -> list[str]:
+        """Words of text[a:c] from those of text[a:b] and text[b:c]."""
+        self.joins += 1
+        size = WINDOW
+        while True:
+            # back over the left side's words, to one that begins at least ``size`` before the join
+            kept, begin = len(left), b
+            while kept and begin > b - size:
+                kept -= 1
+                begin -= text[begin - 1] == " "
+                begin -= self._width(left[kept])
+            if not kept:
+                begin = a
+            end = min(c, b + size)
+            window = split(text[begin:end])
+            sure = end if end == c else end - LOOK
+            old = {at: k for k, at in enumerate(self._starts(text, b, right, sure))}
+            for k, at in enumerate(self._starts(text, begin, window, sure)):
+                if at >= b and at in old:
+                    return left[:kept] + window[:k] + right[old[at] :]
+            if end == c:
+                return left[:kept] + window
+            size *= 2
+
+    def text_words(self, text: str, leaf: int = LEAF) -> list[str]:
         """Keys of the kept words, in order; encodes those not yet kept."""
         found: list[str] = []
         for part in self.cut.split(text) if self.cut and "<|" in text else [text]:
@@ -121,17 +193,9 @@ class Codec:
                     self._keep(part, [part])
                 found.append(part)
             elif self.unsafe.search(part):
-                normal = self.tokenizer.normalizer.normalize_str(part)
-                for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
-                    key = "\0" + w  # in the byte alphabet already
-                    if key not in self.packed:
-                        self._keep(key, self.encode_word(w))
-                    found.append(key)
+                found += self.tree(self.tokenizer.normalizer.normalize_str(part), self._library, leaf)
             else:
-                own = self.words.findall(self.space.sub(" ", part).lower())
-                for w in {w for w in own if w not in self.packed}:
-                    self._keep(w, self.encode_word(self._mapped(w)))
-                found += own
+                found += self.tree(self.space.sub(" ", part).lower(), self._own, leaf)
         return found
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
