@@ -1,8 +1,10 @@
 """Language identification: known words by per-language log frequency, unseen words by ever shorter character n-grams.
 
 The model is fitted on a bounded sample of the rows that may be learned from: about ``PER_LANG`` rows a
-language, picked by a hash of the id, and at most ``ENTRIES`` words and n-grams, most frequent first.
-It is a broadcast of that fixed bound.  Prediction reads every word of every text.
+language, picked by a hash of the id, every language by its own share.  Its table is sparse, and each language
+brings its own most frequent words and n-grams of each length, ``ENTRIES`` over all languages and at least
+``LEAST`` a language: a frequent language takes nothing from a rare one.  So the table that is broadcast grows
+with the number of languages alone.  Prediction reads every word of every text.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0, and so is every text when there
 is nothing to learn from; equal evidence goes to the language that sorts first; rows with a null lang or
@@ -11,32 +13,41 @@ text are not learned from, null ids neither.  Rows are independent, so skew and
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import base
 
-#: Rows of each language that the model is fitted on, about; words and n-grams kept; longest n-gram.
-PER_LANG, ENTRIES, LONGEST = 2500, 300_000, 5
+#: Rows of each language that the model is fitted on, about; longest n-gram.
+PER_LANG, LONGEST = 2500, 5
+#: Size of the model: words and n-grams of all languages; the least that a language brings of each length.
+ENTRIES, LEAST = 300_000, 500
+#: Number of n-gram rows that count in full; rarer n-grams of three or more letters say little and are left out.
+SEEN = 2
+#: Slices in which a language's most frequent entries are looked for.
+SLICES = 16
 #: Words that count in full towards the score; more words than these add no more certainty.
 EVIDENCE = 20
-#: Unseen words whose evidence a worker keeps; words and n-grams that it counts before it passes them on.
-KEPT_WORDS, FLUSH = 150_000, 100_000
+#: Cells (words times languages) of evidence that a worker keeps; words and n-grams that it counts before it passes them on.
+KEPT_CELLS, FLUSH = 1_500_000, 100_000
 WORD = re.compile(r"[^\W\d_]+")
 RESULT = "lang_pred string, score double"
-GRAMS = "lang string, size int, gram string, n long"
+GRAMS = "place int, size int, gram string, n long"
 
 
 def _words(text: str) -> list[str]:
+    """Lower-cased runs of word characters that have a letter; numerals such as superscripts alone are no words."""
     words = WORD.findall(text.lower())
-    return words if any(c.isalpha() for c in (words[0] if words else "")) else [w for w in words if any(map(str.isalpha, w))]
+    return words if text.isascii() else [w for w in words if any(map(str.isalpha, w))]
 
 
 def _count(batches):
@@ -46,10 +57,10 @@ def _count(batches):
 
     def out():
         cols = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "size", "gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(list(found.values()), pa.int64())], ["place", "size", "gram", "n"])
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+        for lang, text in zip(batch.column("place").to_pylist(), batch.column("text"), strict=True):
             for word, n in Counter(_words(text.as_py())).items():
                 found[lang, 0, word] += n
                 whole = f"^{word}$"
@@ -62,83 +73,110 @@ def _count(batches):
     yield out()
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, entries: int = ENTRIES) -> dict:
+def train(docs: DataFrame, per_lang: int = PER_LANG, entries: int = ENTRIES, least: int = LEAST) -> dict:
     """Model of ``docs`` (doc_id, text, lang), to be passed to :func:`predict`. Leave held-out rows out beforehand."""
     base.small_batches()
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and text is not null and doc_id is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
-    if not sizes:
-        return {"id": uuid.uuid4().hex, "langs": [], "grams": {}}
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_lang / n))])
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30))
-    counted = sample.select("lang", "text").mapInArrow(_count, GRAMS).groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
-    rows = counted.where("n > 1 or size < 3").orderBy(F.desc("n"), "size", "gram", "lang").limit(entries).toArrow()
+    # a number a language
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().toLocalIterator()}
     langs = sorted(sizes)
-    place = {lang: k for k, lang in enumerate(langs)}
-    grams: dict[int, dict[str, np.ndarray]] = {}
-    for size, gram, lang, n in zip(*(rows.column(c).to_pylist() for c in ("size", "gram", "lang", "n")), strict=True):
-        grams.setdefault(size, {}).setdefault(gram, np.zeros(len(langs)))[place[lang]] = n
+    if not langs:
+        return {"id": uuid.uuid4().hex, "langs": [], "grams": {}}
+    shares = docs.sparkSession.createDataFrame([(k, lang, min(1.0, per_lang / sizes[lang])) for k, lang in enumerate(langs)], "place int, lang string, share double")
+    sample = known.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    counted = sample.select("place", "text").mapInArrow(_count, GRAMS).groupBy("size", "gram", "place").agg(F.sum("n").alias("n")).where(f"n >= {SEEN} or size < 3")
+    counted = base.stored(counted, "grams")
+    most = max(least, entries // (len(langs) * (LONGEST + 1)))
+    # the most frequent of each language and length, first within slices of them, so that no task holds a whole language
+    by = lambda *more: F.row_number().over(Window.partitionBy("place", "size", *more).orderBy(F.desc("n"), "gram"))
+    heads = counted.withColumn("first", by(F.pmod(F.xxhash64("gram"), F.lit(SLICES)))).where(F.col("first") <= most)
+    wanted = heads.withColumn("first", by()).where(F.col("first") <= most).select("size", "gram").distinct()
+    # what one language brings is counted in all
+    rows = counted.join(wanted, ["size", "gram"]).toArrow().sort_by([("size", "ascending"), ("gram", "ascending"), ("place", "ascending")])
+    base.dropped(counted)
     out = {}
-    for size, found in grams.items():
-        counts = np.array(list(found.values()))
-        out[size] = (list(found), np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(found) + 1)).astype(np.float32))
+    for size in range(LONGEST + 1):
+        own = rows.filter(pc.equal(rows.column("size"), size))
+        if not own.num_rows:
+            continue
+        names, place, n = own.column("gram").to_pylist(), own.column("place").to_numpy(), own.column("n").to_numpy().astype(float)
+        heads = np.flatnonzero(np.array([True] + [x != y for x, y in itertools.pairwise(names)]))
+        total = np.bincount(place, n, len(langs)) + 0.5 * len(heads) + 1
+        out[size] = ([names[k] for k in heads], np.append(heads, len(names)), place.astype(np.int32), np.log((n + 0.5) / 0.5).astype(np.float32), np.log(0.5 / total))
     return {"id": uuid.uuid4().hex, "langs": langs, "grams": out}
 
 
 class Scorer:
-    """Keeps the evidence of words: one row of log frequencies a word."""
+    """Keeps the evidence of words: one row of log frequencies a word.
+
+    model["grams"][size]: the names; where each one's cells begin, and the last ones end; languages and gains of the
+    cells; log frequency of what a language has not.
+    """
 
     def __init__(self, model: dict):
-        self.langs, self.model = model["langs"], model
-        words, _ = model["grams"].get(0, ([], None))
-        # one table holds the rows of words, n-grams and, behind them, unseen words
-        parts, self.grams, at = [], {}, 0
-        for size, (names, rows) in sorted(model["grams"].items()):
-            self.grams[size] = {g: at + k for k, g in enumerate(names)}
-            parts.append(rows)
+        self.langs = model["langs"]
+        self.index: dict[int, dict[str, int]] = {}
+        begins, langs, gains, floors, at, cells = [], [], [], [], 0, 0
+        for size, (names, heads, place, gain, floor) in sorted(model["grams"].items()):
+            self.index[size] = {g: at + k for k, g in enumerate(names)}
+            begins.append(heads[:-1] + cells)
+            langs.append(place)
+            gains.append(gain)
+            floors.append((at, floor))
             at += len(names)
-        self.fixed = np.concatenate(parts) if parts else np.zeros((0, max(1, len(self.langs))), np.float32)
-        self.known = dict(self.grams.get(0, {}))
+            cells += len(place)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.begins, self.lang, self.gain = np.append(join(begins, np.int64), cells), join(langs, np.int32), join(gains, np.float32)
+        self.floor_at, self.floors = np.array([a for a, _ in floors]), np.array([f for _, f in floors])
+        self.most = max(1, KEPT_CELLS // max(1, len(self.langs)))
         self._forget()
 
     def _forget(self):
-        self.index, self.rows, self.used = dict(self.known), self.fixed, len(self.fixed)
+        self.row_of: dict[str, int] = {}
+        self.rows = np.zeros((0, max(1, len(self.langs))), np.float32)
+
+    def hits(self, word: str) -> list[int]:
+        """The word itself; else back off to the longest n-grams of which the model knows one; a word unlike all is no evidence."""
+        if (own := self.index.get(0, {}).get(word)) is not None:
+            return [own]
+        whole = f"^{word}$"
+        for n in range(LONGEST, 0, -1):
+            get = self.index.get(n, {}).get
+            if found := [x for i in range(len(whole) - n + 1) if (x := get(whole[i : i + n])) is not None]:
+                return found
+        return []
 
     def _learn(self, words: list[str]) -> None:
-        """Back off: the longest n-grams of which the model knows one; a word unlike all is no evidence."""
-        flat, lengths = [], []
-        sizes = [(n, self.grams[n].get) for n in range(LONGEST, 0, -1) if n in self.grams]
-        for word in words:
-            whole = f"^{word}$"
-            for n, get in sizes:
-                hits = [x for i in range(len(whole) - n + 1) if (x := get(whole[i : i + n])) is not None]
-                if hits:
-                    break
-            else:
-                hits = []
-            flat += hits
-            lengths.append(len(hits))
-        size = np.array(lengths)
-        new = np.zeros((len(words), self.fixed.shape[1]), np.float32)
-        if flat:
-            full = size > 0
-            starts = np.concatenate([[0], np.cumsum(size[full])[:-1]])
-            new[full] = np.add.reduceat(self.fixed[flat], starts, axis=0) / size[full][:, None]
-        if self.used + len(words) > len(self.rows):
-            self.rows = np.concatenate([self.rows[: self.used], np.zeros((max(len(words), self.used), self.fixed.shape[1]), np.float32)])
-        self.rows[self.used : self.used + len(words)] = new
-        self.index.update(zip(words, range(self.used, self.used + len(words)), strict=True))
-        self.used += len(words)
+        found = [self.hits(w) for w in words]
+        size = np.array([len(f) for f in found])
+        flat = np.array([x for f in found for x in f], np.int64)
+        new = np.zeros((len(words), self.rows.shape[1]))
+        if len(flat):
+            owner = np.repeat(np.arange(len(words)), size)
+            np.add.at(new, owner, self.floors[np.searchsorted(self.floor_at, flat, side="right") - 1])
+            many = self.begins[flat + 1] - self.begins[flat]
+            cell = np.repeat(self.begins[flat] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            np.add.at(new, (np.repeat(owner, many), self.lang[cell]), self.gain[cell])
+            new /= np.maximum(size, 1)[:, None]
+        used = len(self.row_of)
+        if used + len(words) > len(self.rows):
+            self.rows = np.concatenate([self.rows[:used], np.zeros((max(len(words), used), self.rows.shape[1]), np.float32)])
+        self.rows[used : used + len(words)] = new
+        self.row_of.update(zip(words, range(used, used + len(words)), strict=True))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _words(text or "")
         if not words or not self.langs:
             return "und", 0.0
-        if len(self.index) > KEPT_WORDS + len(self.known):
-            self._forget()
-        if missing := {w for w in words if w not in self.index}:
-            self._learn(list(missing))
-        total = self.rows[list(map(self.index.__getitem__, words))].sum(axis=0, dtype=np.float64) * min(1.0, EVIDENCE / len(words))
+        total = np.zeros(self.rows.shape[1])
+        for i in range(0, len(words), self.most):  # so many words at once as are kept
+            own = words[i : i + self.most]
+            if len(self.row_of) + len(own) > 2 * self.most:
+                self._forget()
+            if missing := {w for w in own if w not in self.row_of}:
+                self._learn(sorted(missing))
+            total += self.rows[list(map(self.row_of.__getitem__, own))].sum(axis=0, dtype=np.float64)
+        total *= min(1.0, EVIDENCE / len(words))
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
