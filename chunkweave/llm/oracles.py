@@ -26,36 +26,29 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard,
 """
 
 
-def urls(rules=url_filter.RULES, rounds: int = url_filter.ROUNDS, damping: float = url_filter.DAMPING, threshold: float = url_filter.THRESHOLD) -> str:
-    """Rules as a CASE, and the rounds of both ranks one after the other."""
+def urls(rules=url_filter.RULES, rounds: int = 400, damping: float = url_filter.DAMPING, threshold: float = url_filter.THRESHOLD) -> str:
+    """Rules as a CASE; walks from the seeds, summed over so many rounds or until there are none."""
 
     def case(value: int) -> str:
         when = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[value]}'" for h, p, v in url_filter._longest_first(rules)]
         return f"CASE {' '.join(when)} END"
 
     host = lambda url: _LOWER.format(f"regexp_extract(substr({url}, instr({url}, '://') + 3), '^([^/?#]*)', 1)")
-
-    def ranks(name: str, seed: str, src: str, dst: str) -> str:
-        out = f"""
-), {name}_w AS (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS w FROM edges
-), {name}_s AS (SELECT host, CASE WHEN sum({seed}) OVER () > 0 THEN {seed} / sum({seed}) OVER () ELSE 0.0 END AS start FROM hosts
-), {name}0 AS (SELECT host, start AS rank FROM {name}_s"""
-        for k in range(rounds):
-            out += f"""
-), {name}_m{k} AS MATERIALIZED (SELECT s.host, any_value(s.start) AS start, coalesce(sum(w.w * r.rank), 0.0) AS moved FROM {name}_s s LEFT JOIN {name}_w w ON w.dst = s.host LEFT JOIN {name}{k} r ON r.host = w.src GROUP BY s.host
-), {name}{k + 1} AS (SELECT host, {damping} * moved + (1.0 - {damping} * (SELECT sum(moved) FROM {name}_m{k})) * start AS rank FROM {name}_m{k}"""
-        return out
-
     return f"""
-WITH u AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN url ELSE '://' END AS url FROM pages
+WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN url ELSE '://' END AS url FROM pages
 ), p AS (SELECT page_id, html, {host("url")} AS host, regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS path FROM u
 ), r AS (SELECT *, {case(0)} AS rule, {case(1)} AS by_rule FROM p
 ), l AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)\\shref\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS link FROM r
 ), a AS (SELECT src, CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END AS link FROM l WHERE regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:)?//')
 ), edges AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM (SELECT src, {host("link")} AS dst FROM a) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
+), w AS MATERIALIZED (SELECT 'good' AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM edges UNION ALL SELECT 'bad', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges
 ), seeds AS (SELECT host, avg(CASE WHEN by_rule = 'allow' THEN 1.0 ELSE 0.0 END) AS good, avg(CASE WHEN by_rule = 'block' THEN 1.0 ELSE 0.0 END) AS bad FROM r WHERE host <> '' GROUP BY host
   UNION ALL SELECT host, CASE WHEN by_rule = 'allow' THEN 1.0 ELSE 0.0 END, CASE WHEN by_rule = 'block' THEN 1.0 ELSE 0.0 END FROM (SELECT host, {case(1)} AS by_rule FROM (SELECT DISTINCT dst AS host, '/' AS path FROM edges))
-), hosts AS MATERIALIZED (SELECT host, CAST(max(good) AS DOUBLE) AS good, CAST(max(bad) AS DOUBLE) AS bad FROM seeds GROUP BY host{ranks("good_", "good", "src", "dst")}{ranks("bad_", "bad", "dst", "src")}
-), v AS (SELECT g.host, CASE WHEN b.rank > {threshold} * g.rank THEN 'block' ELSE 'allow' END AS by_graph FROM good_{rounds} g JOIN bad_{rounds} b USING (host))
-SELECT page_id, r.host, path, rule, coalesce(by_rule, by_graph, 'allow') AS verdict FROM r LEFT JOIN v USING (host)
+), hosts AS (SELECT host, CAST(max(good) AS DOUBLE) AS good, CAST(max(bad) AS DOUBLE) AS bad FROM seeds GROUP BY host
+), walks AS (SELECT 0 AS k, 'good' AS kind, host, good / sum(good) OVER () AS x FROM hosts WHERE good > 0 UNION ALL SELECT 0, 'bad', host, bad / sum(bad) OVER () FROM hosts WHERE bad > 0
+  UNION ALL SELECT any_value(walks.k) + 1, walks.kind, w.dst, {damping} * sum(w.w * walks.x) FROM walks JOIN w ON w.src = walks.host AND w.kind = walks.kind WHERE walks.k < {rounds} GROUP BY walks.kind, w.dst
+), ranks AS (SELECT kind, host, sum(x) / sum(sum(x)) OVER (PARTITION BY kind) AS rank FROM walks GROUP BY kind, host
+), v AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'bad'), 0.0) > {threshold} * coalesce(sum(rank) FILTER (kind = 'good'), 0.0) AS bad FROM ranks GROUP BY host
+)
+SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN v.bad THEN 'block' ELSE 'allow' END) AS verdict FROM r LEFT JOIN v USING (host)
 """
