@@ -50,6 +50,27 @@ def test_bpe_tree_is_exact():
         assert c.encode_word(word, rnd.choice([3, 7, 20, 100])) == [t.value for t in c.tokenizer.model.tokenize(word)]
 
 
+def test_bpe_text_tree(library):
+    """Texts cut anywhere, joined again: the library's ids, whatever stands at a cut."""
+    c, rnd = bpe_codec.Codec(bpe_codec.default_path()), random.Random(2)
+    bits = ["a", "b", "'s", "'", "re", "'re", " ", "  ", "\n", "1", "é", "漢", "é", "İ", "!", "<|", "|>", "ll", "<|endoftext|>", "x" * 40, "ß", "Σ", "ς", "\x85", "😀", "²"]
+    for k in range(600):
+        text = "".join(rnd.choice([b for b in bits if k % 2 or not c.unsafe.search(b)]) for _ in range(rnd.randint(0, 150)))
+        want = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        for leaf in (1, 3, 17, 64):
+            assert b"".join(c.packed[w] for w in c.text_words(text, leaf)) == want
+    assert c.joins > 1000
+
+
+def test_bpe_query_joins(spark, sf):
+    """The leaf of the query is smaller than most texts: their ids come through joins."""
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    c = bpe_codec.Codec(bpe_codec.default_path())
+    for t in texts:
+        c.encode(t)
+    assert c.joins >= sum(len(t) > bpe_codec.LEAF for t in texts) > len(texts) / 3
+
+
 def test_bpe_full_output(edge_docs, library):
     out = rows(edge_docs.where("doc_id = 6").select(bpe_codec.encode(F.col("text"), bpe_codec.default_path()).alias("e"), "text"))
     assert out[0]["e"]["ids"] == library.encode(out[0]["text"], add_special_tokens=False).ids
@@ -100,8 +121,77 @@ def test_png_filters(step, colour):
 
     png = media.MAGIC + media._chunk(b"IHDR", struct.pack(">IIBBBBB", 9, 12, 8, colour, 0, 0, 0)) + media._chunk(b"IDAT", zlib.compress(lines.tobytes())[:20]) + media._chunk(b"IDAT", zlib.compress(lines.tobytes())[20:]) + media._chunk(b"IEND", b"")
     assert (media.read_png(png) == samples).all()
-    for kind in (0, 2):
-        assert (media.read_png(media.write_png(samples, kind)) == samples).all()
+    assert (media.read_png(media.write_png(samples, colour)) == samples).all()
+    with pytest.raises(media.MediaError):
+        media.unfiltered(np.array([[5, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]], np.uint8), [1], step)
+
+
+def _decoded(png):
+    """Another reader of grey PNGs: chunks by struct, filters a byte at a time."""
+    import struct
+
+    at, body, size, kinds = 8, b"", None, []
+    while at < len(png):
+        n, kind = struct.unpack_from(">I4s", png, at)
+        if kind == b"IHDR":
+            size = struct.unpack_from(">II", png, at + 8)
+        if kind == b"IDAT":
+            body += png[at + 8 : at + 8 + n]
+        at += 12 + n
+    raw, out = zlib.decompress(body), []
+    for y in range(size[1]):
+        kind, *line = raw[y * (size[0] + 1) : (y + 1) * (size[0] + 1)]
+        kinds.append(kind)
+        own = []
+        for x, v in enumerate(line):
+            a, b, c = own[-1] if x else 0, out[-1][x] if y else 0, out[-1][x - 1] if y and x else 0
+            p = a + b - c
+            own.append((v + (0, a, b, (a + b) // 2, min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2])[kind]) % 256)
+        out.append(own)
+    return out, kinds
+
+
+def _hashed(samples):
+    """The hash by its definition: means of 32 x 32 fields, the transform as sums of cosines."""
+    import math
+
+    n, small = 32, np.array(samples, float)
+    for axis in (0, 1):
+        if small.shape[axis] < n:
+            small = small.repeat(-(-n // small.shape[axis]), axis=axis)
+        cut = [k * small.shape[axis] // n for k in range(n)] + [small.shape[axis]]
+        small = np.stack([small.take(range(a, b), axis=axis).mean(axis=axis) for a, b in zip(cut, cut[1:], strict=False)], axis=axis)
+    low = np.zeros((8, 8))
+    for u in range(8):
+        for v in range(8):
+            wave = np.outer([math.cos(math.pi * u * (2 * k + 1) / 64) for k in range(n)], [math.cos(math.pi * v * (2 * k + 1) / 64) for k in range(n)])
+            low[u, v] = (wave * small).sum() * (1 / 32) * (1 if u else 0.5**0.5) * (1 if v else 0.5**0.5) * 2
+    return low
+
+
+def test_media_by_another_reader(spark, edge_docs, edge_rows):
+    """Stored bytes and features of texts of all kinds; several filters are in use, so unfiltering carries the result."""
+    texts = ["", "a", "漢字 " * 300, "the same line of words\n" * 150, *[t for _, t in edge_rows[4:7] if t]]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    described = {r["doc_id"]: r for r in rows(media.media_features(got))}
+    used = set()
+    for k, png in enumerate(media.stores([t.encode() for t in texts])):
+        samples, kinds = _decoded(png)
+        used |= set(kinds)
+        assert bytes(x for row in samples for x in row) == media.payload(texts[k].encode())
+        assert described[k]["media_sha256"] == hashlib.sha256(png).hexdigest() and described[k]["media_bytes"] == len(png)
+        low = _hashed(samples)
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(described[k]["feature"]), np.uint8))
+        median = np.median(low.ravel()[1:])
+        clear = np.abs(low.ravel() - median) > 1e-4
+        clear[0] = False
+        assert ((low.ravel() > median) == bits)[clear].all() and not bits[0]
+        # the filter of each row is one of the least sum
+        s = np.array(samples)
+        for y, kind in enumerate(kinds):
+            cost = [np.abs(_filtered(s[max(0, y - 1) : y + 1], [0] * min(y, 1) + [f], 1)[-1, 1:].astype(np.int8).astype(int)).sum() for f in range(5)]
+            assert kind == int(np.argmin(cost))
+    assert len(used) >= 3
 
 
 def test_png_damage():
@@ -146,14 +236,27 @@ def test_tree_equals_recount(counter):
             b, new = min(len(s), a + rnd.choice([0, 0, 1, 3, 40, 200])), make(rnd.choice([0, 1, 2, 10, 100]))
             t.edit(a, b, new)
             s = s[:a] + new + s[b:]
-            assert [p for x in t.pieces for p in x] == counter.pattern.findall(s)
+            assert t.pieces() == counter.pattern.findall(s) and t.n_pretokens == len(t.pieces())
             assert t.n_tokens == len(counter.encoding.encode_ordinary(s)) == t.tokens[1] and len(t) == len(s)
 
 
 def test_edits_touch_little(counter):
-    t = token_counts.Tree(counter, "word " * 50_000)
-    t.edit(100_000, 100_004, "other")
-    assert t.reencoded < 10
+    """A kept tree: a few pre-tokens are encoded again and a few leaves are read for each edit, whatever the length."""
+    text = "word " * 50_000
+    kept = token_counts.Tree(counter, text).kept()
+    t = token_counts.Tree(counter, text, kept)
+    for n, at in enumerate((100_000, 3, 249_990, 100_002), 1):
+        t.edit(at, at + 4, "other")
+        text = text[:at] + "other" + text[at + 4 :]
+        assert t.reencoded < 10 * n and t.read <= 2 * n
+    assert t.text() == text and t.n_tokens == len(counter.encoding.encode_ordinary(text))
+    # many insertions cut a leaf in several without reading others
+    read = t.read
+    for _ in range(60):
+        t.edit(500, 500, "new words here and ")
+    assert t.read <= read + 2 and len(t.leaves) > 782
+    again = token_counts.Tree(counter, t.text(), t.kept())
+    assert (again.n_tokens, again.n_pretokens, again.pieces()) == (t.n_tokens, t.n_pretokens, counter.pattern.findall(t.text()))
 
 
 def test_redacted_counts(edge_docs, edge_rows, counter):
@@ -169,15 +272,17 @@ def test_apply_edits(spark, counter):
     edits = spark.createDataFrame([(1, 2, 5, 99, "!"), (1, 1, 0, 5, "HELLO there"), (2, 1, 0, 0, "new"), (9, 1, 0, 1, "x"), (None, 1, 0, 1, "x"), (3, 1, None, 1, None)], "doc_id long, seq int, start int, end int, replacement string")
     kept = token_counts.trees(docs)
     n = lambda s: len(counter.encoding.encode_ordinary(s))
-    once = token_counts.apply_edits(kept, edits)
-    got = sorted((r["doc_id"], r["text"], r["n_edits"], r["n_tokens"]) for r in rows(once))
-    assert got == [(1, "HELLO!", 2, n("HELLO!"))] * 2 + [(2, "new", 1, n("new")), (3, "bc", 1, n("bc"))]
+    for most in (token_counts.EDITS, 1):  # all at once, or one a round
+        once = token_counts.apply_edits(kept, edits, most=most)
+        got = sorted((r["doc_id"], r["text"], r["n_edits"], r["n_tokens"]) for r in rows(once))
+        assert got == [(1, "HELLO!", 2, n("HELLO!"))] * 2 + [(2, "new", 1, n("new")), (3, "bc", 1, n("bc"))]
     # a tree that was kept goes on where it was
     again = rows(token_counts.apply_edits(once, spark.createDataFrame([(2, 1, 3, 3, "er words")], edits.schema)))
     assert [(r["text"], r["n_tokens"], r["n_tokens_before"]) for r in again if r["doc_id"] == 2] == [("newer words", n("newer words"), n("new"))]
     assert all(sum(r["counts"]) == r["n_tokens"] and sum(r["lengths"]) == len(r["text"]) for r in again)
+    assert len(rows(token_counts.apply_edits(kept, edits.limit(0)))) == 4
     with pytest.raises(ValueError):
-        token_counts.Tree(counter, "abc", [1], [1])
+        token_counts.Tree(counter, "abc", tuple(np.array(x) for x in ([1], [1], [1], [1, 1], [1, 1])))
 
 
 # 5
@@ -227,11 +332,68 @@ def test_language_edges(edge_docs, edge_rows):
 
 
 def test_backoff():
-    model = {"id": "t", "langs": ["aa", "bb"], "grams": {0: (["known"], np.log(np.array([[0.9, 0.1]], np.float32))), 2: (["zz"], np.log(np.array([[0.2, 0.8]], np.float32))), 1: (["q"], np.log(np.array([[0.7, 0.3]], np.float32)))}}
+    def table(name, *shares):
+        """One entry that all languages have."""
+        return [name], np.array([0, 2]), np.array([0, 1], np.int32), np.log(np.array(shares) / 0.01).astype(np.float32), np.log(np.full(2, 0.01))
+
+    model = {"id": "t", "langs": ["aa", "bb"], "grams": {0: table("known", 0.9, 0.1), 2: table("zz", 0.2, 0.8), 1: table("q", 0.7, 0.3)}}
     s = lang_id.Scorer(model)
     assert s.predict("known")[0] == "aa" and s.predict("qzz")[0] == "bb" and s.predict("q")[0] == "aa"
     assert s.predict("ww") == ("aa", 0.5)  # no evidence: a tie, the first
     assert s.predict("known 12")[1] == pytest.approx(0.9, abs=1e-6)
+    assert lang_id._words("ab ² ǅx 12 ²b") == lang_id._words("² ab ǅx ²b") == ["ab", "ǆx", "²b"]
+
+
+def brute_language(docs, langs):
+    """(lang_pred, score) of each text, by dictionaries: docs are (doc_id, text, lang)."""
+    import math
+    import re
+
+    words = lambda t: [w for w in re.findall(r"[^\W\d_]+", (t or "").lower()) if any(map(str.isalpha, w))]
+    grams = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    counts = Count()
+    for i, t, lang in docs:
+        if lang is not None and t is not None and i is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            for w in words(t):
+                counts[0, w, lang] += 1
+                for n in range(1, 6):
+                    for g in grams(w, n):
+                        counts[n, g, lang] += 1
+    counts = {k: c for k, c in counts.items() if c > 1 or k[0] < 3}
+    known = {n: {g for m, g, _ in counts if m == n} for n in range(6)}
+    total = {(n, lang): sum(c for (m, _, x), c in counts.items() if m == n and x == lang) + 0.5 * len(known[n]) + 1 for n in range(6) for lang in langs}
+    logp = lambda n, g, lang: math.log((counts.get((n, g, lang), 0) + 0.5) / total[n, lang])
+    out = []
+    for _, t, _ in docs:
+        own, sums = words(t), dict.fromkeys(langs, 0.0)
+        for w in own:
+            hits = [(0, w)] if w in known[0] else next((h for n in range(5, 0, -1) if (h := [(n, g) for g in grams(w, n) if g in known[n]])), [])
+            for lang in langs:
+                sums[lang] += sum(logp(n, g, lang) for n, g in hits) / max(1, len(hits)) * min(1, 20 / len(own))
+        best = max(langs, key=lambda x: (sums[x], [-ord(c) for c in x]))
+        out.append((best, 1 / sum(math.exp(v - sums[best]) for v in sums.values())) if own else ("und", 0.0))
+    return out
+
+
+def test_language_by_brute_force(spark):
+    rnd = random.Random(9)
+    kinds = {"aa": ["lorem", "ipsum", "dolor", "ßet"], "bb": ["tempor", "dolor", "élan"], "cc": ["ipse"]}
+    docs = [(k, " ".join(rnd.choice(kinds[lang]) + rnd.choice(["", "x", "et"]) for _ in range(rnd.choice([1, 4, 30]))), lang) for k in range(60) for lang in [rnd.choice(list(kinds))]]
+    docs += [(100, None, "aa"), (101, "12 34", "bb"), (102, "ipsumdolor temporet", None), (None, "lorem lorem", "bb"), (103, "dolor", "aa")]
+    got = {(r["doc_id"], i): r for i, r in enumerate(rows(lang_id.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string"))))}
+    by_id = {k[0]: r for k, r in got.items()}
+    for (i, _, _), (lang, score) in zip(docs, brute_language(docs, sorted(kinds)), strict=True):
+        assert by_id[i]["lang_pred"] == lang and by_id[i]["score"] == pytest.approx(score, rel=1e-4)
+
+
+def test_many_languages(spark):
+    """No language is lost, and a rare one keeps its words beside frequent ones."""
+    name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    docs = [(k, f"{name(k * 7919)}q {name(k * 104729)}z", f"l{k:04}") for k in range(1500)] + [(5000 + k, f"frequent {name(k)}f", "l0000") for k in range(3000)]
+    model = lang_id.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"), entries=1000, least=10)
+    assert len(model["langs"]) == 1500
+    s = lang_id.Scorer(model)
+    assert all(s.predict(t)[0] == lang for _, t, lang in docs[1:1500:50]) and s.predict("frequent")[0] == "l0000"
 
 
 # 7
