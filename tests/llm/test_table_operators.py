@@ -60,14 +60,20 @@ def test_no_benchmark(spark, edge_docs, edge_rows, no_docs):
     assert not rows(decontaminate.report(no_docs, spark.createDataFrame([(1, "a b")], "item_id long, text string")))
 
 
-def test_segments_cut_anywhere(spark, edge_docs, edge_rows, monkeypatch):
-    terms, found = decontaminate.phrases([("a", [b"the", b"of"]), ("b", [b"and"])], 10)
-    whole = None
-    for size in (1, 50_000, 10**9):
-        seg = decontaminate.index(edge_docs, terms, segment_words=size)
-        got = sorted((str(r["doc_id"]), r["n_words"], len(r["spans"]), tuple(r["item_ids"])) for r in rows(decontaminate.search(seg, found, decontaminate.corpus_counts(seg, len(terms)))))
-        assert whole in (None, got)
-        whole = got
+def test_segments_cut_anywhere(spark, edge_docs, edge_rows):
+    """One index serves any benchmark, however it is cut."""
+    for block in ([("a", [b"the", b"of"]), ("b", [b"and"])], [("c", ["straße".encode()]), (None, [b"nowhere"])]):
+        whole = None
+        for size in (1, 50_000, 10**9):
+            got = sorted((str(r["doc_id"]), r["n_words"], len(r["spans"]), tuple(r["item_ids"])) for r in rows(decontaminate.search(decontaminate.index(edge_docs, segment_words=size), decontaminate.Phrases(block))))
+            assert whole in (None, got)
+            whole = got
+        assert any(r[2] for r in whole)
+
+
+def test_index_holds_all_terms(spark, edge_docs, edge_rows):
+    seg = rows(decontaminate.index(edge_docs, segment_words=20_000))
+    assert len(seg) > 1 and sum(int(np.frombuffer(r["counts"], np.uint32).sum()) for r in seg) == sum(len(decontaminate.words((t or "").encode())) for _, t in edge_rows)
 
 
 def test_proximity(spark):
