@@ -1,6 +1,6 @@
 """Sharding by histogram sort: near-equal bytes in each shard, rows exchanged once.
 
-Rows are ordered by (md5 of the text as a 60-bit number, doc_id), so equal texts are neighbours.  A row
+Rows are ordered by (md5 of the text as a 60-bit number, doc_id, serial number), so equal texts are neighbours.  A row
 belongs to shard ``k`` when the bytes before it, in that order, are at least ``k`` sixteenths of all
 bytes and less than ``k + 1``.  The splitters are found without a sort: each round counts the exact bytes
 and rows below candidate boundaries across all partitions and refines only the intervals that still hold a
@@ -8,26 +8,34 @@ splitter, until an interval's rows all share one key.  Besides the splitters of
 count cut every shard into fine ranges; those take an interval's edge once it is close enough.  Rows then
 move once, to their fine range, and are numbered there.
 
-A fine range never grows with one text: a text that many rows share is cut by doc_id.  What reaches the
-driver each round is bounded by the number of splitters times ``FANOUT``.
+A fine range never grows with one text: a text that many rows share is cut by doc_id, a row that stands there
+many times by serial numbers, given when the keys were stored.  What reaches the driver is about 16 numbers a
+fine range in the first round, which settles all of those but the ones in hot texts, and 256 for each splitter
+that is still open in the others.
 
 Cases: a null text has size 1, its crc32 is that of the empty text, and it sorts as the empty text does; a
-null doc_id sorts before all others; rows alike in text and doc_id stay together, in one shard; an empty
+null doc_id sorts before all others; rows alike in text and doc_id are shared out as any others; an empty
 table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from . import base
 
 SHARDS = 16
-#: Intervals that a refined interval is cut into, as a power of two, and bits of the keys.
-FANOUT_BITS, FIRST_BITS, KEY_BITS, ID_BITS = 8, 12, 60, 64
+#: Intervals that a refined interval is cut into, and all rows at first at least, as powers of two.
+FANOUT_BITS, FIRST_BITS = 8, 12
+#: Parts of a row's key, in order, and their bits.
+KEYS = (("key", 60), ("uid", 64), ("serial", 63))
 #: A fine range's edge may be off by this share of a range's rows.
 SLACK = 0.25
 #: Rows in a fine range, about.
@@ -40,164 +48,145 @@ def _keys(docs: DataFrame) -> DataFrame:
         "doc_id",
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.conv(F.substring(F.md5(text.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long").alias("key"),
-        # the order of ids, as a number whose bits can be read from the top: sign turned, null first
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
+        F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long").alias("key"),
+        # the order of ids as an unsigned number: sign turned, null first
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).bitwiseXOR(F.lit(-(1 << 63))).alias("uid"),
+        F.monotonically_increasing_id().alias("serial"),
     )
 
 
-def _part(key: str, bits: int, taken: int, width: int) -> Column:
-    """The ``width`` bits of a key that follow its first ``taken`` bits, as a number."""
-    col = F.col(key)
-    if key == "id":
-        col = col.bitwiseXOR(F.lit(-(1 << 63)))
-    return F.shiftrightunsigned(col, bits - taken - width).bitwiseAND(F.lit((1 << width) - 1))
-
-
 class _Interval:
-    """Rows whose keys begin with the same bits: what lies before them and what they hold."""
+    """Rows whose keys begin with the same bits: whole parts of the key, then a prefix of the next; what lies before them and what they hold."""
 
-    def __init__(self, level: int, prefix: int, key: int | None, rows: int, size: int, before_rows: int, before_size: int):
-        self.level, self.prefix, self.key = level, prefix, key
+    def __init__(self, whole: tuple[int, ...], bits: int, prefix: int, rows: int, size: int, before_rows: int, before_size: int):
+        self.whole, self.bits, self.prefix = whole, bits, prefix
         self.rows, self.size, self.before_rows, self.before_size = rows, size, before_rows, before_size
 
-
-def _levels() -> list[tuple[str, int, int]]:
-    """(key, bits taken before, bits of this round) of each round."""
-    out = [("key", 0, FIRST_BITS)]
-    for key, bits in (("key", KEY_BITS), ("id", ID_BITS)):
-        taken = FIRST_BITS if key == "key" else 0
-        while taken < bits:
-            width = min(FANOUT_BITS, bits - taken)
-            out.append((key, taken, width))
-            taken += width
-    return out
-
-
-def _counted(rows: DataFrame, level: tuple[str, int, int], parents: list[_Interval] | None) -> list[_Interval]:
-    """Exact rows and bytes of each piece of the parents, in order."""
-    key, taken, width = level
-    bits = KEY_BITS if key == "key" else ID_BITS
-    if parents is None:
-        picked = rows.withColumn("parent", F.lit(0))
-    else:
-        # the rows of the parents alone: at most one parent for each splitter
-        first = F.shiftrightunsigned(F.col("key"), KEY_BITS - taken) if key == "key" else F.col("key")
-        head = F.shiftrightunsigned(F.col("id").bitwiseXOR(F.lit(-(1 << 63))), ID_BITS - taken) if key == "id" and taken else F.lit(0).cast("long")
-        # prefixes over 63 bits long wrap in the same way on both sides
-        known = rows.sparkSession.createDataFrame([(p.prefix if p.key is None else p.key, _signed(p.prefix) if key == "id" and taken else 0, i) for i, p in enumerate(parents)], "first long, head long, parent int")
-        picked = rows.withColumns({"first": first, "head": head}).join(F.broadcast(known), ["first", "head"])
-    found = picked.groupBy("parent", _part(key, bits, taken, width).alias("piece")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).orderBy("parent", "piece").collect()
-    out, last, r, b = [], None, 0, 0
-    for x in found:
-        parent = parents[x["parent"]] if parents else None
-        if x["parent"] != last:
-            last, r, b = x["parent"], parent.before_rows if parent else 0, parent.before_size if parent else 0
-        above = parent.prefix if parent and not (key == "id" and not taken) else 0
-        prefix = (above << width) | x["piece"]
-        out.append(_Interval(taken + width, prefix, (parent.key if parent.key is not None else parent.prefix) if key == "id" else None, x["n"], x["bytes"], r, b))
-        r, b = r + x["n"], b + x["bytes"]
-    return out
+    def edge(self, beyond: bool = False) -> tuple[int, ...]:
+        """The smallest key of the interval, or the first one past it."""
+        part = len(self.whole)
+        out = [*self.whole, (self.prefix + beyond) << (KEYS[part][1] - self.bits)] + [0] * (len(KEYS) - part - 1)
+        for k in range(part, 0, -1):  # what is past the last number of a part begins the next of the part before
+            if out[k] >> KEYS[k][1]:
+                out[k] = 0
+                out[k - 1] += 1
+        return tuple(out)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _edge(i: _Interval, key: str) -> tuple[int, int]:
-    """The smallest (key, id) of an interval."""
-    if key == "key":
-        return i.prefix << (KEY_BITS - i.level), -(1 << 63)
-    return i.key, (i.prefix << (ID_BITS - i.level)) - (1 << 63)
+def _shifted(part: str, bits: int, taken: int) -> Column:
+    """The first ``taken`` bits of a part of the key."""
+    return F.shiftrightunsigned(part, bits - taken) if taken else F.lit(0).cast("long")
+
+
+def _counted(rows: DataFrame, part: int, taken: int, width: int, parents: list[_Interval] | None) -> list[list[_Interval]]:
+    """Exact rows and bytes of each piece of the parents, in order: pieces by the ``width`` bits that follow ``taken`` bits of a part of the key."""
+    name, bits = KEYS[part]
+    picked = rows.withColumn("parent", F.lit(0))
+    if parents is not None:
+        # the rows of the parents alone: at most one parent for each splitter
+        names = [f"at{k}" for k in range(part + 1)]
+        at = [F.col(KEYS[k][0]) for k in range(part)] + [_shifted(name, bits, taken)]
+        known = [(*map(_signed, p.whole), *((_signed(p.prefix),) if len(p.whole) == part else (_signed(p.prefix), 0)), i) for i, p in enumerate(parents)]
+        known = rows.sparkSession.createDataFrame(known, ", ".join(f"{n} long" for n in names) + ", parent int")
+        picked = rows.withColumns(dict(zip(names, at, strict=True))).join(F.broadcast(known), names)
+    piece = F.shiftrightunsigned(name, bits - taken - width).bitwiseAND(F.lit((1 << width) - 1))
+    found = picked.groupBy("parent", piece.alias("piece")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).orderBy("parent", "piece").collect()
+    out: list[list[_Interval]] = [[] for _ in parents or [None]]
+    for x in found:
+        own, parent = out[x["parent"]], parents[x["parent"]] if parents else None
+        if own:
+            r, b = own[-1].before_rows + own[-1].rows, own[-1].before_size + own[-1].size
+        else:
+            r, b = (parent.before_rows, parent.before_size) if parent else (0, 0)
+        deeper = parent is None or len(parent.whole) < part
+        whole = () if parent is None else (*parent.whole, parent.prefix) if deeper else parent.whole
+        own.append(_Interval(whole, taken + width, x["piece"] if deeper else parent.prefix << width | x["piece"], x["n"], x["bytes"], r, b))
+    return out
 
 
-def splitters(rows: DataFrame, shards: int, ranges: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Smallest (key, id) of each shard but the first, and of each fine range but the first."""
-    levels = _levels()
-    pieces = _counted(rows, levels[0], None)
-    total_rows, total_size = sum(p.rows for p in pieces), sum(p.size for p in pieces)
-    if not total_rows:
+def splitters(rows: DataFrame, shards: int, ranges: int) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
+    """Smallest key of each shard but the first, and of each fine range but the first."""
+    part, taken, width = 0, 0, max(FIRST_BITS, ranges.bit_length() + 3)
+    pieces = _counted(rows, part, taken, width, None)[0]
+    if not pieces:
         return [], []
+    total_rows, total_size = pieces[-1].before_rows + pieces[-1].rows, pieces[-1].before_size + pieces[-1].size
     # a target: (exact?, place in bytes or rows)
     wanted = [(True, -(-k * total_size // shards)) for k in range(1, shards)] + [(False, k * total_rows // ranges) for k in range(1, ranges)]
     close = SLACK * total_rows / ranges
-    edges: dict[tuple[bool, int], tuple[int, int] | None] = {}
-    open_, level = {t: pieces for t in wanted}, 0
-    while open_:
-        key = levels[level][0]
-        later: dict[tuple[bool, int], _Interval] = {}
-        for t, own in open_.items():
-            exact, place = t
-            before = (lambda p: p.before_size) if exact else (lambda p: p.before_rows)
-            held = (lambda p: p.size) if exact else (lambda p: p.rows)
-            # the first piece that begins at the place or beyond it is the shard's first, unless the one before it is cut
-            after = next((p for p in own if before(p) >= place), None)
-            inside = next((p for p in own if before(p) < place < before(p) + held(p)), None)
-            end = own[-1]
-            if inside is None:
-                edges[t] = _edge(after, key) if after else _beyond(_edge(end, key), end, key)
-            elif not exact and min(place - before(inside), before(inside) + held(inside) - place) <= close:
-                low = place - before(inside) <= before(inside) + held(inside) - place
-                edges[t] = _edge(inside, key) if low else _beyond(_edge(inside, key), inside, key)
-            elif inside.rows == 1 or level + 1 == len(levels):
-                # the row that the place lies in starts before it: the next one is the first of the shard
-                edges[t] = _beyond(_edge(inside, key), inside, key)
-            else:
-                later[t] = inside
-        parents = list({id(p): p for p in later.values()}.values())
-        open_ = {}
-        if parents:
-            level += 1
-            pieces = _counted(rows, levels[level], parents)
-            by: dict[int, list[_Interval]] = {}
-            for p in pieces:
-                owner = next(k for k, q in enumerate(parents) if q.before_rows <= p.before_rows < q.before_rows + q.rows)
-                by.setdefault(owner, []).append(p)
-            open_ = {t: by[parents.index(p)] for t, p in later.items()}
+    edges: dict[tuple[bool, int], tuple[int, ...]] = {}
+    groups = [(pieces, dict.fromkeys(wanted))]
+    while groups:
+        last = part + 1 == len(KEYS) and taken + width == KEYS[part][1]
+        opened: dict[int, tuple[_Interval, dict]] = {}
+        for own, targets in groups:
+            begins = {True: [p.before_size for p in own], False: [p.before_rows for p in own]}
+            for t in targets:
+                exact, place = t
+                held = (lambda p: p.size) if exact else (lambda p: p.rows)
+                # the first piece that begins at the place or beyond it is the shard's first, unless the one before it is cut
+                k = bisect.bisect_left(begins[exact], place)
+                inside = own[k - 1] if k and place < begins[exact][k - 1] + held(own[k - 1]) else None
+                if inside is None:
+                    edges[t] = own[k].edge() if k < len(own) else own[-1].edge(beyond=True)
+                    continue
+                low = place - begins[exact][k - 1]
+                if not exact and min(low, held(inside) - low) <= close:
+                    edges[t] = inside.edge(beyond=2 * low > held(inside))
+                elif inside.rows == 1 or last:
+                    # the row that the place lies in starts before it: the next one is the first of the shard
+                    edges[t] = inside.edge(beyond=True)
+                else:
+                    opened.setdefault(id(inside), (inside, {}))[1][t] = None
+        taken += width
+        if taken == KEYS[part][1]:
+            part, taken = part + 1, 0
+        if opened:
+            width = min(FANOUT_BITS, KEYS[part][1] - taken)
+            groups = list(zip(_counted(rows, part, taken, width, [p for p, _ in opened.values()]), [t for _, t in opened.values()], strict=True))
+        else:
+            groups = []
     return [edges[t] for t in wanted if t[0]], [edges[t] for t in wanted if not t[0]]
 
 
-def _beyond(edge: tuple[int, int], i: _Interval, key: str) -> tuple[int, int]:
-    """The first (key, id) past an interval."""
-    if key == "key":
-        return edge[0] + (1 << (KEY_BITS - i.level)), edge[1]
-    nxt = edge[1] + (1 << (ID_BITS - i.level))
-    return (edge[0], nxt) if nxt < 1 << 63 else (edge[0] + 1, -(1 << 63))
+def _packed(columns) -> np.ndarray:
+    """Keys as strings of bytes whose order is that of the keys."""
+    return np.ascontiguousarray(np.stack(columns, axis=1).astype(">u8")).view(f"S{8 * len(KEYS)}").ravel()
 
 
-def _position(edges: list[tuple[int, int]]) -> Column:
-    """How many of the sorted edges are at or before the row: a binary search as nested tests."""
-    if not edges:
-        return F.lit(0)
+def _position(outer: list[tuple[int, ...]], fine: list[tuple[int, ...]], spark) -> Column:
+    """Struct of shard and range of a row: how many of the sorted edges of each are at or before it."""
+    packed = [_packed(list(np.array(e, dtype=np.uint64).reshape(-1, len(KEYS)).T)) for e in (sorted(outer), sorted(fine))]
+    sent = spark.sparkContext.broadcast(packed)
 
-    def search(low: int, high: int) -> str:
-        if low == high:
-            return str(low)
-        mid = (low + high) // 2
-        k, i = edges[mid]
-        at = f"(key > {k}L or (key = {k}L and id >= {i}L))" if i > -(1 << 63) else f"(key >= {k}L)"
-        return f"if({at}, {search(mid + 1, high)}, {search(low, mid)})"
+    @arrow_udf("shard int, range int")
+    def run(key: pa.Array, uid: pa.Array, serial: pa.Array) -> pa.Array:
+        own = _packed([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in (key, uid, serial)])
+        return pa.StructArray.from_arrays([pa.array(np.searchsorted(e, own, side="right"), pa.int32()) for e in sent.value], ["shard", "range"])
 
-    return F.expr(search(0, len(edges)))
+    return run(*[F.col(k) for k, _ in KEYS])
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row of ``docs``."""
     rows = base.stored(_keys(docs), "shard-keys")
-    total = rows.count()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(shards, parts, math.ceil(total / RANGE_ROWS))
+    total, spark = rows.count(), docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(shards, parts, math.ceil(total / range_rows))
     outer, fine = splitters(rows, shards, ranges)
-    edges = sorted(set(outer) | set(fine))
-    placed = rows.withColumns({"shard": _position(sorted(outer)), "range": _position(edges)})
+    placed = rows.withColumn("at", _position(outer, sorted(set(outer) | set(fine)), spark)).select("*", "at.*").drop("at")
     # rows of each fine range, a bounded number: where its slots begin
     counts = sorted((r["range"], r["shard"], r["n"]) for r in placed.groupBy("range", "shard").agg(F.count("*").alias("n")).collect())
     starts, filled = [], {}
     for r, s, n in counts:
         starts.append((r, filled.get(s, 0)))
         filled[s] = filled.get(s, 0) + n
-    begin = docs.sparkSession.createDataFrame(starts, "range int, start long")
-    order = Window.partitionBy("range").orderBy("key", "id", "size")
+    begin = spark.createDataFrame(starts, "range int, start long")
+    order = Window.partitionBy("range").orderBy("key", F.col("uid").bitwiseXOR(F.lit(-(1 << 63))), "serial")
     return (
         placed.repartition(max(parts, len(starts)), "range")
         .withColumn("slot", F.row_number().over(order) - 1)

@@ -176,10 +176,8 @@ def check_law(docs, got, shards=16):
     order = sorted(docs, key=lambda d: (key(d[1]), d[0] is not None, d[0] or 0))
     size = [len((t or "").encode()) + 1 for _, t in order]
     total, before, want, slots = sum(size), 0, Count(), Count()
-    first: dict = {}
     for (i, t), n in zip(order, size, strict=True):
-        # equal rows stay where the first of them is
-        s = first.setdefault((i, t or ""), before * shards // total)
+        s = before * shards // total
         want[i, n, zlib.crc32((t or "").encode()), s] += 1
         before += n
         slots[s] += 1
@@ -193,10 +191,13 @@ def test_sharding_edges(edge_docs, edge_rows, no_docs):
     assert not rows(sharding.shard(no_docs))
 
 
-def test_sharding_hot_text(spark):
+@pytest.mark.parametrize("copies,range_rows", [(0, 1_000_000), (0, 40), (900, 1_000_000), (900, 25)])
+def test_sharding_hot_text(spark, copies, range_rows):
+    """A text that many rows share, a row that stands there many times, and fine ranges of few rows."""
     rnd = random.Random(2)
-    docs = [(k, "the same text") for k in range(-400, 400)] + [(1000 + k, prose(rnd, rnd.choice([1, 5, 50]))) for k in range(900)]
-    got = rows(sharding.shard(spark.createDataFrame(docs, "doc_id long, text string")))
+    docs = [(k, "the same text") for k in range(-400, 400)] + [(7, "the same row")] * copies + [(1000 + k, prose(rnd, rnd.choice([1, 5, 50]))) for k in range(900 - copies // 2)]
+    rnd.shuffle(docs)
+    got = rows(sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), range_rows=range_rows))
     check_law(docs, got)
     by = Count()
     for r in got:
@@ -204,6 +205,16 @@ def test_sharding_hot_text(spark):
     assert max(by.values()) - min(by.values()) < 2 * max(r["size"] for r in got)
 
 
+def test_key_edges():
+    last = (1 << 64) - 1
+    inside = sharding._Interval((5, last), 63, (1 << 63) - 1, 1, 1, 0, 0)
+    assert inside.edge() == (5, last, (1 << 63) - 1) and inside.edge(beyond=True) == (6, 0, 0)
+    assert sharding._Interval((), 12, 3, 1, 1, 0, 0).edge(beyond=True) == (4 << 48, 0, 0)
+    keys = [(0, 0, 0), (0, 256, 0), (1, 0, 1), (1, 0, 256), (1 << 59, last, 5)]
+    packed = sharding._packed(list(np.array(keys, dtype=np.uint64).T))
+    assert (np.searchsorted(packed, packed, side="right") == np.arange(1, 6)).all()
+
+
 # 10
 
 
