@@ -7,10 +7,13 @@ passages of many documents; before those, shingles go by their words, rarest fir
 that leading shingles are hardly ever shared by chance.
 
 * Groups: nodes with a shared leading shingle, gathered under the most frequent of those, so that similar
-  documents meet.  A group of more than ``BLOCK`` nodes is cut.
+  documents meet.  A group of more than ``BLOCK`` nodes or ``SHINGLES`` shingles is cut; the smallest node of all visits each part.
+* First, groups are compared inside.  Most of a large cluster of near copies is one component then.
 * Token-group matrix: the union of each group's leading shingles, as rows (token, group).
 * Candidate groups of a node: those whose union has one of its leading shingles, and sizes that can match.
-  Of two groups the smaller one's nodes visit the larger.
+  Of two groups the smaller one's nodes visit the larger.  Shingles all of whose nodes are in one component, and
+  groups all of whose nodes are in the visitor's, have no link to add and are left out, so that a huge cluster isn't compared
+  part by part with itself.
 * Signs: every set has a bitmap of ``SIGN_BITS`` bits, doubled with the size of the set beyond ``SIGN_SIZE``,
   each the parity of the shingles that fall on it.  Two bitmaps, the longer one folded, differ in no more bits
   than the sets in shingles, so only nodes with a partner whose bitmap is near enough stay; none that has a
@@ -43,14 +46,14 @@ from pyspark.sql import functions as F
 from . import base
 
 SIZE, PER_CENT = 3, 90
-#: Most members, and most visitors, that are compared at once.
-BLOCK = 2048
+#: Most members, and most visitors, that are compared at once, and most shingles of either, but for a single set's.
+BLOCK, SHINGLES = 512, 2_000_000
 SIGN_BITS, SIGN_SIZE = 1024, 1500
 #: Counters of the sketch, as a power of two; bits of the filter of sets that are needed again.
 SKETCH_BITS, WORD_BITS, FILTER_BITS = 22, 20, 23
 SLICE = 1 << 14
 KEPT_WORDS = 200_000
-HEADS = "doc_id long, n long, node long, head array<long>, sign binary"
+HEADS = "doc_id long, text_hash long, n long, node long, head array<long>, sign binary"
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _ODD = [np.uint64(x | 1) for x in (0x8CB92BA72F3D8DD6, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C4, 0x165667B19E3779F8, 0xD6E8FEB86659FD92)]
 
@@ -200,26 +203,20 @@ def heads(docs: DataFrame, size: int, per_cent: int) -> DataFrame:
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, size))
 
     def run(batches):
-        ids, ns, nodes, lead, signs = [], [], [], [], []
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(lead, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "n", "node", "head", "sign"])
-
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), base.texts(batch.column(1)), strict=True):
+            rows = []
+            for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), base.texts(batch.column(2)), strict=True):
                 u, place = ranked(text, size, *classes.value)
-                ids.append(doc_id)
-                ns.append(len(u))
-                nodes.append(_node(u) if len(u) else None)
-                first = len(u) - needed(len(u), per_cent) + 1
-                lead.append((u[np.argpartition(place, first - 1)[:first]] if first < len(u) else u).view(np.int64) if len(u) else [])
-                signs.append(sign(u) if len(u) else None)
-                if len(ids) >= 5000:
-                    yield out()
-                    ids, ns, nodes, lead, signs = [], [], [], [], []
-        yield out()
+                if len(u):
+                    first = len(u) - needed(len(u), per_cent) + 1
+                    rows.append((doc_id, text_hash, len(u), _node(u), (u[np.argpartition(place, first - 1)[:first]] if first < len(u) else u).view(np.int64), sign(u)))
+                else:
+                    rows.append((doc_id, text_hash, 0, None, [], None))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in HEADS.split(", ")])
 
-    return base.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, HEADS), "heads")
+    return base.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, HEADS), "heads")
 
 
 def _places(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -363,11 +360,11 @@ def _units(batches, columns: tuple[str, ...], finish):
         yield from finish(*key, rows)
 
 
-def _survivors(per_cent: int):
+def _survivors(per_cent: int, inner: bool):
     """grp, chunk, node, visit of the nodes that may have a link in a unit."""
 
     def finish(g, c, rows):
-        near = near_signs([r[3] for r in rows], np.array([r[2] for r in rows], np.int64), np.array([r[1] for r in rows], bool), c == 0, per_cent)
+        near = near_signs([r[3] for r in rows], np.array([r[2] for r in rows], np.int64), np.array([r[1] for r in rows], bool), inner, per_cent)
         if near.any():
             own = [rows[i] for i in np.flatnonzero(near)]
             yield pa.RecordBatch.from_arrays([pa.array([g] * len(own), pa.int64()), pa.array([c] * len(own), pa.int32()), pa.array([r[0] for r in own], pa.int64()), pa.array([r[1] for r in own], pa.bool_())], ["grp", "chunk", "node", "visit"])
@@ -375,11 +372,11 @@ def _survivors(per_cent: int):
     return lambda batches: _units(batches, ("node", "visit", "n", "sign"), finish)
 
 
-def _opened(per_cent: int):
+def _opened(per_cent: int, inner: bool):
     """Edges (a, b) of the units."""
 
     def finish(g, c, rows):
-        a, b = compare(np.array([r[0] for r in rows], np.int64), [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows], bool), c == 0, per_cent)
+        a, b = compare(np.array([r[0] for r in rows], np.int64), [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows], bool), inner, per_cent)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -405,7 +402,16 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def links(docs: DataFrame, lead: DataFrame, size: int, per_cent: int, block: int = BLOCK) -> DataFrame:
+def _compared(docs: DataFrame, units: DataFrame, own: DataFrame, members: DataFrame, size: int, per_cent: int, inner: bool) -> DataFrame:
+    """Edges (a, b) in units (grp, chunk, node, visit): between visitors and the others and, where ``inner``, between the others."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda rows: rows.repartition(parts, "grp", "chunk").sortWithinPartitions("grp", "chunk")
+    near = base.stored(dealt(units.join(own, "node")).mapInArrow(_survivors(per_cent, inner), "grp long, chunk int, node long, visit boolean"), "near")
+    sets = _needed_sets(docs, near.select("node").distinct().join(members.select("node", "rep"), "node"), size)
+    return dealt(near.join(sets, "node")).mapInArrow(_opened(per_cent, inner), "a long, b long")
+
+
+def links(docs: DataFrame, lead: DataFrame, size: int, per_cent: int, block: int = BLOCK, most: int = SHINGLES) -> DataFrame:
     """Edges (a, b) between linked nodes: enough of them to connect what is linked."""
     full = lead.where("n > 0")
     nodes = full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
@@ -415,37 +421,52 @@ def links(docs: DataFrame, lead: DataFrame, size: int, per_cent: int, block: int
     spark = docs.sparkSession
     if cells.isEmpty():
         return spark.createDataFrame([], "a long, b long")
+    in_parts = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / most)).cast("int")
     # groups: each node under the most frequent of its shared leading shingles
     often = cells.groupBy("token").agg(F.count("*").alias("df"))
-    home = cells.join(often, "token").groupBy("node").agg(F.max(F.struct("df", "token")).alias("h")).select("node", F.col("h.token").alias("home"))
-    crowd = home.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    members = base.stored(home.join(crowd, "home").join(nodes, "node").select("node", "rep", "n", F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts")).alias("grp")), "members")
-    sizes = members.groupBy("grp").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
-    placed = cells.join(members.select("node", "n", "grp"), "node").join(sizes.select("grp", "m"), "grp")
-    matrix = cells.join(members.select("node", "grp"), "node").select("token", "grp").distinct().join(sizes, "grp").select("token", F.col("grp").alias("to"), F.col("m").alias("to_m"), "low", "high")
-    # of two groups the smaller one's nodes visit, those that share a token with the other and can match in size
-    guests = placed.join(matrix, "token").where(f"(m < to_m or (m = to_m and grp < to)) and 100 * n >= {per_cent} * low and 100 * high >= {per_cent} * n").select("node", F.col("to").alias("grp")).distinct()
-    guests = base.stored(guests, "guests")
-    calls = guests.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
-    guests = guests.join(calls, "grp").select("grp", F.pmod(F.xxhash64("node", "grp"), "chunks").cast("int").alias("chunk"), "node", F.lit(True).alias("visit"))
-    hosts = members.join(calls, "grp", "left").select("grp", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"), "node", F.lit(False).alias("visit"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    home = cells.join(often, "token").groupBy("node").agg(F.max(F.struct("df", "token")).alias("h")).select("node", F.col("h.token").alias("home")).join(nodes, "node")
+    crowd = home.groupBy("home").agg(in_parts.alias("parts"), F.min("node").alias("anchor"))
+    grp = lambda node: F.xxhash64("home", F.pmod(F.xxhash64(node), "parts"))
+    members = base.stored(home.join(crowd, "home").select("node", "rep", "n", "home", grp("node").alias("grp")), "members")
     own = full.select("node", F.col("doc_id").alias("rep"), "n", "sign").alias("f").join(members.select("node", "rep").alias("m"), F.expr("f.node = m.node and f.rep <=> m.rep")).select("f.node", "n", "sign").dropDuplicates(["node"])
-    units = guests.unionByName(hosts).join(own, "node").repartition(parts, "grp", "chunk").sortWithinPartitions("grp", "chunk")
-    near = base.stored(units.mapInArrow(_survivors(per_cent), "grp long, chunk int, node long, visit boolean"), "near")
-    sets = _needed_sets(docs, near.select("node").distinct().join(members.select("node", "rep"), "node"), size)
-    opened = near.join(sets, "node").repartition(parts, "grp", "chunk").sortWithinPartitions("grp", "chunk")
-    return opened.mapInArrow(_opened(per_cent), "a long, b long")
-
-
-def join(docs: DataFrame, size: int = SIZE, per_cent: int = PER_CENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text)."""
+    # inside the groups; of a group in parts the smallest node visits all but its own
+    visit = lambda v: (F.lit(0).alias("chunk"), "node", F.lit(v).alias("visit"))
+    cut = crowd.where("parts > 1").select("home", F.col("anchor").alias("node"), grp("anchor").alias("at"))
+    anchors = members.select("home", "grp").distinct().join(cut, "home").where("grp <> at").select("grp", *visit(True))
+    inside = base.stored(_compared(docs, members.select("grp", *visit(False)).unionByName(anchors), own, members, size, per_cent, True), "inside")
+    # what is connected already
+    roots = components(inside)
+    placed = base.stored(members.join(roots, "node", "left").select("node", "n", "grp", F.coalesce("root", "node").alias("comp")), "placed")
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    cells = cells.join(placed, "node")
+    mixed = cells.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    cells = base.stored(cells.join(mixed, "token", "left_semi"), "cells")
+    sizes = placed.groupBy("grp").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    matrix = cells.select("token", "grp").distinct().join(sizes, "grp").select("token", F.col("grp").alias("to"), F.col("m").alias("to_m"), "low", "high", "lo", "hi")
+    # of two groups the smaller one's nodes visit, those that share a token with the other and can match in size
+    rule = f"(m < to_m or (m = to_m and grp < to)) and 100 * n >= {per_cent} * low and 100 * high >= {per_cent} * n and not (comp = lo and comp = hi)"
+    guests = base.stored(cells.join(sizes.select("grp", "m"), "grp").join(matrix, "token").where(rule).select("node", "n", F.col("to").alias("grp")).distinct(), "guests")
+    if guests.isEmpty():
+        return known
+    calls = guests.groupBy("grp").agg(in_parts.alias("chunks"))
+    visitors = guests.join(calls, "grp").select("grp", F.pmod(F.xxhash64("node", "grp"), "chunks").cast("int").alias("chunk"), "node", F.lit(True).alias("visit"))
+    hosts = members.join(calls, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", F.lit(False).alias("visit"))
+    return known.unionByName(_compared(docs, visitors.unionByName(hosts), own, members, size, per_cent, False))
+
+
+def classes(docs: DataFrame, size: int = SIZE, per_cent: int = PER_CENT, block: int = BLOCK, most: int = SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id, text_hash and root (the component's smallest node, null without shingles) of each row of ``docs`` (doc_id, text)."""
     base.small_batches()
     docs = docs.select("doc_id", "text")
     lead = heads(docs, size, per_cent)
-    stars = base.settled(lambda: components(links(docs, lead, size, per_cent, block)), "components")
+    stars = base.settled(lambda: components(links(docs, lead, size, per_cent, block, most)), "components")
     nodes = lead.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
     rooted = nodes.join(stars, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    named = rooted.join(lowest, "root").select("node", "component")
-    return lead.select("doc_id", "n", "node").join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    named = rooted.join(lowest, "root").select("node", "component", "root")
+    return lead.select("doc_id", "n", "node", "text_hash").join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "text_hash", "root")
+
+
+def join(docs: DataFrame, size: int = SIZE, per_cent: int = PER_CENT, block: int = BLOCK, most: int = SHINGLES) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text)."""
+    return classes(docs, size, per_cent, block, most).select("doc_id", "n_shingles", "component_id")

@@ -126,8 +126,8 @@ def test_join_edges(edge_docs, edge_rows, no_docs):
     assert not rows(ngram_join.join(no_docs))
 
 
-@pytest.mark.parametrize("block,per_cent", [(2048, 90), (4, 90), (8, 80)])
-def test_join_families(spark, block, per_cent):
+@pytest.mark.parametrize("block,per_cent,most", [(2048, 90, 10**6), (4, 90, 10**6), (8, 80, 600)])
+def test_join_families(spark, block, per_cent, most):
     """Families of edited copies, chains of them, a passage in most documents, and exact copies."""
     rnd = random.Random(block)
     vocabulary = [f"w{k}" for k in range(400)]
@@ -145,7 +145,7 @@ def test_join_families(spark, block, per_cent):
     docs += [docs[0]] * 15
     rnd.shuffle(docs)
     given = list(enumerate(docs))
-    assert components(ngram_join.join(spark.createDataFrame(given, "doc_id long, text string"), block=block, per_cent=per_cent)) == brute_components(given, per_cent=per_cent)
+    assert components(ngram_join.join(spark.createDataFrame(given, "doc_id long, text string"), block=block, per_cent=per_cent, most=most)) == brute_components(given, per_cent=per_cent)
 
 
 def test_bitmaps_lose_nothing():
