@@ -14,7 +14,8 @@ the driver is bounded by the vocabulary and the head.
 
 Cases: a null, empty or wordless text has one token, its end; words unseen in training have c = 0 and a
 score like any other; without training rows the weights are the vocabulary's own; repeated rows are scored
-alike, each counts in training; null ids are not learned from.
+alike, each counts in training; null ids are not learned from.  A very long word is worked through in
+stripes: beside its characters two numbers a character are held.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from . import base
 
 #: Words in the broadcast head; rounds of re-estimation; weight of the vocabulary's own scores, in pieces.
 HEAD, ROUNDS, PRIOR = 200_000, 2, 1000.0
+#: Characters whose arcs are held at once.
+ARCS = 100_000
 #: Distinct words that a partition counts before it passes them on.
 FLUSH = 300_000
 START = "▁"
@@ -96,68 +99,83 @@ class Vocabulary:
 
 
 class Lattice:
-    """Arcs of words of one length. arcs[k]: piece of each window of k + 1 characters, or len(pieces) + an unknown character's number."""
-
-    def __init__(self, vocabulary: Vocabulary, words: list[str]):
-        self.v, n, length = vocabulary, len(words), len(words[0]) + 1
-        codes = np.frombuffer("".join(START + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length)
-        self.n, self.length, self.arcs, self.unknown = n, length, [], []
-        h = np.zeros((n, length), np.uint64)
-        for k in range(min(length, vocabulary.longest)):
-            h = (h[:, : length - k] + (codes[:, k:] + np.uint32(1)).astype(np.uint64)) * _P
+    """Words of one length and their paths. Arcs are worked out for so many beginnings at once that a stripe of them has about ``ARCS`` characters, however long a word is."""
+
+    def __init__(self, vocabulary: Vocabulary, words: list[str], most: int | None = None):
+        self.v, self.n, self.length = vocabulary, len(words), len(words[0]) + 1
+        self.codes = np.frombuffer("".join(START + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(self.n, self.length)
+        self.reach = min(self.length, vocabulary.longest)
+        step = max(1, (most or ARCS) // self.n)
+        self.stripes = [(a, min(self.length, a + step)) for a in range(0, self.length, step)]
+
+    def arcs(self, a: int, b: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Pieces of the windows of 1, 2, ... characters that begin at ``a`` to ``b``, as [word, beginning, length]; -1 for none, numbers past the pieces for unknown characters, whose byte pieces follow."""
+        out = np.full((self.n, b - a, self.reach), -1, np.int32)
+        h, unknown = np.zeros((self.n, b - a), np.uint64), []
+        for k in range(self.reach):
+            fits = min(b, self.length - k) - a  # further windows reach past the end
+            if fits <= 0:
+                break
+            h = (h[:, :fits] + (self.codes[:, a + k : a + k + fits] + np.uint32(1)).astype(np.uint64)) * _P
             h ^= h >> np.uint64(29)
-            found = vocabulary.find(h)
+            found = self.v.find(h)
             if k == 0 and (found < 0).any():
                 lost = found < 0
-                chars, at = np.unique(codes[lost], return_inverse=True)
-                found[lost] = len(vocabulary.pieces) + at
-                self.unknown = [vocabulary.byte[list(chr(c).encode("utf-8", "surrogatepass"))] for c in chars]
-            self.arcs.append(found)
-
-    def weights(self, logp: np.ndarray) -> list[np.ndarray]:
-        full = np.concatenate([logp, [logp[b].sum() for b in self.unknown], [-np.inf]])
-        return [full[a] for a in self.arcs]
-
-    def forward(self, w: list[np.ndarray]) -> np.ndarray:
-        """Log of the sum over the segmentations of each beginning."""
-        alpha = np.full((self.n, self.length + 1), -np.inf)
+                chars, at = np.unique(self.codes[:, a:b][lost], return_inverse=True)
+                found[lost] = len(self.v.pieces) + at
+                unknown = [self.v.byte[list(chr(c).encode("utf-8", "surrogatepass"))] for c in chars]
+            out[:, :fits, k] = found
+        return out, unknown
+
+    @staticmethod
+    def weights(arcs: np.ndarray, unknown: list[np.ndarray], logp: np.ndarray) -> np.ndarray:
+        return np.concatenate([logp, [logp[x].sum() for x in unknown], [-np.inf]])[arcs]
+
+    def forward(self, logp: np.ndarray) -> np.ndarray:
+        """Log of the sum over the segmentations of each beginning; columns past the length stay empty."""
+        alpha = np.full((self.n, self.length + 1 + self.reach), -np.inf)
         alpha[:, 0] = 0
-        for j in range(1, self.length + 1):
-            own = np.stack([alpha[:, j - k] + w[k - 1][:, j - k] for k in range(1, min(j, len(w)) + 1)])
-            alpha[:, j] = np.logaddexp.reduce(own, axis=0) if len(own) == 1 else _logsum(own)
+        for a, b in self.stripes:
+            w = self.weights(*self.arcs(a, b), logp)
+            for i in range(a, b):
+                ahead = alpha[:, i + 1 : i + 1 + self.reach]
+                np.logaddexp(ahead, alpha[:, i : i + 1] + w[:, i - a], out=ahead)
         return alpha
 
+    def marginal(self, logp: np.ndarray) -> np.ndarray:
+        return self.forward(logp)[:, self.length]
+
     def expected(self, logp: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, the words counted so many times."""
-        w = self.weights(logp)
-        alpha = self.forward(w)
-        beta = np.full((self.n, self.length + 1), -np.inf)
+        alpha = self.forward(logp)
+        beta = np.full((self.n, self.length + 1 + self.reach), -np.inf)
         beta[:, self.length] = 0
-        for i in range(self.length - 1, -1, -1):
-            beta[:, i] = _logsum(np.stack([w[k - 1][:, i] + beta[:, i + k] for k in range(1, min(self.length - i, len(w)) + 1)]))
-        out = np.zeros(len(logp) + len(self.unknown) + 1)
-        for k, (a, x) in enumerate(zip(self.arcs, w, strict=True), 1):
-            ok = a >= 0
-            post = np.exp(alpha[:, : self.length - k + 1] + x + beta[:, k:] - alpha[:, -1:]) * times[:, None]
-            out += np.bincount(a[ok], post[ok], len(out))
-        for k, b in enumerate(self.unknown):
-            np.add.at(out, b, out[len(logp) + k])
-        return out[: len(logp)]
-
-
-def _logsum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=0)
-    return top + np.log(np.exp(x - top).sum(axis=0))
-
-
-def _by_length(words: list[bytes], most: int = 200_000):
-    """Indexes of words of one length, and the words, so many characters at once."""
+        total = np.zeros(len(logp))
+        for a, b in reversed(self.stripes):
+            arcs, unknown = self.arcs(a, b)
+            w = self.weights(arcs, unknown, logp)
+            for i in range(b - 1, a - 1, -1):
+                x = w[:, i - a] + beta[:, i + 1 : i + 1 + self.reach]
+                top = x.max(axis=1, keepdims=True)
+                beta[:, i] = top[:, 0] + np.log(np.exp(x - top).sum(axis=1))
+            behind = np.lib.stride_tricks.sliding_window_view(beta[:, a + 1 : b + self.reach], self.reach, axis=1)
+            w += alpha[:, a:b, None] + behind - alpha[:, self.length, None, None]
+            ok = arcs >= 0
+            own = np.bincount(arcs[ok], (np.exp(w) * times[:, None, None])[ok], len(logp) + len(unknown))
+            for k, x in enumerate(unknown):
+                np.add.at(total, x, own[len(logp) + k])
+            total += own[: len(logp)]
+        return total
+
+
+def _by_length(words: list[bytes], most: int | None = None):
+    """Indexes of words of one length, and the words, so many characters at once, or one longer word."""
     text = [w.decode("utf-8", "surrogateescape").encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") for w in words]
     lengths = np.array([len(t) for t in text])
     order = np.argsort(lengths, kind="stable")
     for length in np.unique(lengths):
         at = order[np.searchsorted(lengths[order], length) : np.searchsorted(lengths[order], length, side="right")]
-        step = max(1, most // (int(length) + 1))
+        step = max(1, (most or ARCS) // (int(length) + 1))
         for i in range(0, len(at), step):
             yield at[i : i + step], [text[j] for j in at[i : i + step]]
 
@@ -166,11 +184,7 @@ def log_marginals(vocabulary: Vocabulary, logp: np.ndarray, words: list[bytes])
     """log10 of each word's marginal; of the end for the empty word."""
     out = np.zeros(len(words))
     for at, own in _by_length(words):
-        if not own[0]:
-            out[at] = logp[vocabulary.end]
-        else:
-            lattice = Lattice(vocabulary, own)
-            out[at] = lattice.forward(lattice.weights(logp))[:, -1]
+        out[at] = Lattice(vocabulary, own).marginal(logp) if own[0] else logp[vocabulary.end]
     return out / np.log(10)
 
 

@@ -302,6 +302,42 @@ def test_quality_edges(edge_docs, edge_rows, spark):
     assert {r["score"] for r in rows(none)} == {0.5}
 
 
+def brute_features(text):
+    """The features by their names, character by character where they are about characters."""
+    import math
+
+    b = (text or "").encode()
+    words = b.split()
+    n, size = max(1, len(words)), max(1, len(b))
+    share = lambda of: sum(c in of for c in b)
+    upper, lower, wide = sum(65 <= c <= 90 for c in b), sum(97 <= c <= 122 for c in b), sum(c > 127 for c in b)
+    lines = [x for x in b.split(b"\n") if x.strip()]
+    counts = Count(words)
+    marks = b"#$%&*+/<=>@[\\]^_`{|}~"
+    return [
+        math.log(1 + len(words)), len(b) / n, upper / max(1, upper + lower + wide), share(marks) / size, b.count(b"|") / n, b.count(b"!") / n, share(b".,;:?") / n,
+        share(b"0123456789") / size, len(counts) / n, 1 - len(set(lines)) / max(1, len(lines)), math.log(1 + len(b) / max(1, len(lines))),
+        sum(x.rstrip()[-1:] in (b".", b"?", b"!", b":") for x in lines) / max(1, len(lines)), wide / size, max(counts.values(), default=0) / n,
+        sum(w[-1:] in [bytes([m]) for m in marks] + [b"!"] for w in words) / n, math.log(1 + max(map(len, words), default=0)),
+    ]
+
+
+def test_quality_by_brute_force(spark, edge_docs, edge_rows):
+    """Features of all kinds of texts; then the query's model and scores, from features and labels gathered by hand."""
+    got = rows(edge_docs.select("text", quality.feature_column(F.col("text")).alias("x")))
+    for r in got:
+        assert np.allclose(r["x"], brute_features(r["text"]))
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    learned = [i for i in labels if i in docs and zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(learned) < quality.SAMPLE
+    model = quality.fit(np.array([brute_features(docs[i]) for i in learned]), np.array([float(labels[i] == 1) for i in learned]))
+    want = dict(zip(docs, quality.score(model, np.array([brute_features(t) for t in docs.values()])), strict=True))
+    off = [abs(r["score"] - want[r["doc_id"]]) for r in rows(QUERIES["op5_quality_classifier"](spark, sf))]
+    assert np.mean(np.array(off) < 1e-6) > 0.99 and max(off) < 0.05  # order of sums may move a cut between equal gains
+
+
 def test_gam_learns_a_pair():
     rnd = np.random.default_rng(0)
     x = rnd.random((4000, len(quality.FEATURES)))
@@ -425,6 +461,7 @@ def test_lattice_against_paths():
     got = lattice_lm.log_marginals(v, v.first, [w.encode() for w in words])
     assert np.allclose(got, [math.log10(sum(paths("▁" + w))) for w in words])
     lattice = lattice_lm.Lattice(v, ["theation"])
+    assert lattice.arcs(0, lattice.length)[0].shape[2] == min(lattice.length, v.longest)
     e = lattice.expected(v.first, np.array([2.0]))
     k = int(e.argmax())
     moved = v.first.copy()
@@ -433,6 +470,51 @@ def test_lattice_against_paths():
     assert e[k] == pytest.approx(2 * slope, rel=1e-3)
 
 
+def test_long_words_in_stripes():
+    v, rnd = lattice_lm.Vocabulary(lattice_lm.default_path()), random.Random(5)
+    word = "".join(rnd.choice("thequickbrownfox漢😛") for _ in range(700))
+    whole, cut = lattice_lm.Lattice(v, [word, word[::-1]]), lattice_lm.Lattice(v, [word, word[::-1]], most=50)
+    assert len(whole.stripes) == 1 and len(cut.stripes) > 20
+    assert np.allclose(whole.marginal(v.first), cut.marginal(v.first), rtol=1e-12)
+    assert np.allclose(whole.expected(v.first, np.array([1.0, 3.0])), cut.expected(v.first, np.array([1.0, 3.0])), rtol=1e-9)
+
+
+def test_score_by_brute_force(spark):
+    """Two rounds of re-estimation and the texts' probabilities, by enumeration of all segmentations."""
+    import math
+
+    v = lattice_lm.Vocabulary(lattice_lm.default_path())
+    ids, special = {p: k for k, p in enumerate(v.pieces)}, {*v.byte.tolist(), v.end}
+
+    def paths(s):
+        if not s:
+            return [()]
+        out = []
+        for n in range(1, min(v.longest, len(s)) + 1):
+            k = ids.get(s[:n])
+            head = (k,) if k is not None and k not in special else tuple(v.byte[b] for b in s[0].encode()) if n == 1 else None
+            out += [head + rest for rest in paths(s[n:])] if head is not None else []
+        return out
+
+    docs = [(1, "the cat Ꙩ"), (2, "The hat"), (3, None), (4, "that cat cat"), (5, "hatted"), (6, "a the"), (None, "null")]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7
+    split = lambda t: [w.decode() for w in lattice_lm.tokens((t or "").encode())]
+    counts = Count(w for i, t in docs if i is not None and fold(i) != 2 for w in split(t))
+    every = {w: paths("▁" + w) if w else [(v.end,)] for _, t in docs for w in split(t)}
+    logp = v.first
+    for _ in range(lattice_lm.ROUNDS):
+        mass = lattice_lm.PRIOR * np.exp(v.first)
+        for w, c in counts.items():
+            p = [math.exp(sum(logp[k] for k in path)) for path in every[w]]
+            for path, x in zip(every[w], p, strict=True):
+                for k in path:
+                    mass[k] += c * x / sum(p)
+        logp = np.log(mass / mass.sum())
+    want = {i: sum(math.log10(sum(math.exp(sum(logp[k] for k in path)) for path in every[w])) for w in split(t)) for i, t in docs}
+    got = {r["doc_id"]: r["score"] for r in rows(lattice_lm.score(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert got == pytest.approx(want, rel=1e-6)
+
+
 def test_scores(edge_docs, edge_rows, spark):
     for head in (3, lattice_lm.HEAD):  # a small head sends words through the join
         got = rows(lattice_lm.score(edge_docs, head=head))
