@@ -425,13 +425,14 @@ def links(docs: DataFrame, lead: DataFrame, size: int, per_cent: int, block: int
     # groups: each node under the most frequent of its shared leading shingles
     often = cells.groupBy("token").agg(F.count("*").alias("df"))
     home = cells.join(often, "token").groupBy("node").agg(F.max(F.struct("df", "token")).alias("h")).select("node", F.col("h.token").alias("home")).join(nodes, "node")
-    crowd = home.groupBy("home").agg(in_parts.alias("parts"), F.min("node").alias("anchor"))
-    grp = lambda node: F.xxhash64("home", F.pmod(F.xxhash64(node), "parts"))
-    members = base.stored(home.join(crowd, "home").select("node", "rep", "n", "home", grp("node").alias("grp")), "members")
+    # the few that are cut, so that a hot one need not meet its rows in a shuffle
+    crowd = base.stored(home.groupBy("home").agg(in_parts.alias("parts"), F.min("node").alias("anchor")).where("parts > 1"), "crowd")
+    grp = lambda node: F.xxhash64("home", F.pmod(F.xxhash64(node), F.coalesce("parts", F.lit(1))))
+    members = base.stored(home.join(crowd, "home", "left").select("node", "rep", "n", "home", grp("node").alias("grp")), "members")
     own = full.select("node", F.col("doc_id").alias("rep"), "n", "sign").alias("f").join(members.select("node", "rep").alias("m"), F.expr("f.node = m.node and f.rep <=> m.rep")).select("f.node", "n", "sign").dropDuplicates(["node"])
     # inside the groups; of a group in parts the smallest node visits all but its own
     visit = lambda v: (F.lit(0).alias("chunk"), "node", F.lit(v).alias("visit"))
-    cut = crowd.where("parts > 1").select("home", F.col("anchor").alias("node"), grp("anchor").alias("at"))
+    cut = crowd.select("home", F.col("anchor").alias("node"), grp("anchor").alias("at"))
     anchors = members.select("home", "grp").distinct().join(cut, "home").where("grp <> at").select("grp", *visit(True))
     inside = base.stored(_compared(docs, members.select("grp", *visit(False)).unionByName(anchors), own, members, size, per_cent, True), "inside")
     # what is connected already
