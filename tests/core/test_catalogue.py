@@ -27,13 +27,6 @@ def test_query(spark, duck, name):
     assert sorted(want.columns) == sorted(got.columns) and text(want) == text(got)
 
 
-@pytest.mark.parametrize("name", "missing_chunks kerchunk_refs_rows broadcast_prepend broadcast_expand newaxis int_index_negative region_upsert reindex_repeat".split())
-def test_whole_table(duck, name):
-    """Beside each query of a prefix one of the whole table, with more rows."""
-    count = lambda q: duck.sql(f"select count(*) from ({ORACLES[q]})").fetchall()[0][0]
-    assert f"{name}_whole" in QUERIES and count(f"{name}_whole") > count(name)
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
