@@ -9,7 +9,7 @@ from __future__ import annotations
 import copy
 import dataclasses
 import functools
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -567,5 +567,3 @@ def default_loadable(group: VGroup) -> list[str]:
     """Variables named after their only dimension."""
     return [n for n, a in group.arrays.items() if _dims(a) == (n,)]
 
-
-Preprocess = Callable[[VDataset], VDataset]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -111,8 +112,13 @@ def _write_text(ds: VDataset, path: str, text: str) -> None:
 
 
 def _to_parquet(ds: VDataset, path: str, record_size: int) -> None:
-    root = keys.uri(path).rstrip("/")
+    """Into a folder beside the wanted one, which takes its place when all is written, so that nothing of an older one stays."""
+    wanted = keys.uri(path).rstrip("/")
     spark = _spark(ds)
+    old = Folder(spark, wanted)
+    if old.list() and not old.exists(".zmetadata"):
+        raise FileExistsError(f"{wanted} holds something other than references")
+    root = f"{wanted}.writing-{uuid.uuid4().hex[:8]}"
     folder = Folder(spark, root)
     folder.write(".zmetadata", json.dumps({"metadata": _metadata(ds), "record_size": record_size}).encode(), overwrite=True)
     for n, v in ds.variables.items():
@@ -126,8 +132,14 @@ def _to_parquet(ds: VDataset, path: str, record_size: int) -> None:
             linear = linear + F.get("idx", F.lit(a)) * stride
             stride *= v.grid[a]
         total = v.meta.n_chunks
-        rows = v.refs.select(F.expr("0").alias("_"), linear.alias("at"), F.regexp_replace("path", "^file://", "").alias("path"), "offset", "length", "data").drop("_").withColumn("record", F.expr(f"at div {record_size}"))
+        rows = v.refs.select(linear.alias("at"), F.regexp_replace("path", "^file://", "").alias("path"), "offset", "length", "data")
+        # a row for each record, so that those without chunks are written too
+        records = spark.range(-(-total // record_size)).select((F.col("id") * record_size).alias("at"), *[F.lit(None).cast(t).alias(c) for c, t in (("path", "string"), ("offset", "bigint"), ("length", "bigint"), ("data", "binary"))])
+        rows = rows.unionByName(records).withColumn("record", F.expr(f"at div {record_size}"))
         rows.groupBy("record").applyInArrow(_record_writer(f"{root}/{n}", record_size, total), "record bigint").write.format("noop").mode("overwrite").save()
+    old.delete()
+    if not Folder(spark, wanted.rpartition("/")[0]).rename(root.rpartition("/")[2], wanted.rpartition("/")[2]):
+        raise OSError(f"{root} couldn't be renamed to {wanted}")
 
 
 def _record_writer(where: str, record_size: int, total: int):
@@ -142,6 +154,8 @@ def _record_writer(where: str, record_size: int, total: int):
         place = table.column("at").to_numpy() - record * record_size
         cols: dict[str, list] = {"path": [None] * n, "offset": [0] * n, "size": [0] * n, "raw": [None] * n}
         for p, path, offset, length, data in zip(place, *(table.column(c).to_pylist() for c in ("path", "offset", "length", "data")), strict=True):
+            if path is None and data is None:
+                continue
             cols["path"][p], cols["raw"][p] = path, data
             if data is None:
                 cols["offset"][p], cols["size"][p] = offset, length

@@ -51,15 +51,6 @@ class _Reader(DataSourceReader):
         self.parser, self.urls = _parser(options), json.loads(options["urls"])
         self.only: set[str] | None = None
 
-    def pushFilters(self, filters):
-        """Names of variables are left out as files are parsed; Spark still applies every filter."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("name",):
-                self.only = {f.value}
-            elif isinstance(f, In) and f.attribute == ("name",):
-                self.only = set(f.value)
-            yield f
-
     def partitions(self):
         return [_File(u) for u in self.urls]
 
@@ -75,6 +66,19 @@ class _Reader(DataSourceReader):
                 yield (partition.path, a.group, a.name, "chunk", None, [int(i) for i in idx], path, offset, length, data)
 
 
+class _PushingReader(_Reader):
+    """For sessions that push filters down to such sources: Spark refuses one that could where they don't."""
+
+    def pushFilters(self, filters):
+        """Names of variables are left out as files are parsed; Spark still applies every filter."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("name",):
+                self.only = {f.value}
+            elif isinstance(f, In) and f.attribute == ("name",):
+                self.only = set(f.value)
+            yield f
+
+
 class ChunkRefs(DataSource):
     """``spark.read.format("chunkrefs").option("parser", "<module>:<class>").option("urls", "[...]")``."""
 
@@ -86,7 +90,8 @@ class ChunkRefs(DataSource):
         return ROWS
 
     def reader(self, schema):
-        return _Reader(dict(self.options))
+        options = dict(self.options)
+        return _PushingReader(options) if options.get("push") == "true" else _Reader(options)
 
 
 def _parser(options: dict) -> FileParser:
@@ -116,16 +121,10 @@ class FileParser:
         """:data:`ROWS` of all files, one task each."""
         spark.dataSource.register(ChunkRefs)
         made = f"{type(self).__module__}:{type(self).__qualname__}"
-        return spark.read.format("chunkrefs").options(parser=made, arguments=json.dumps(self.arguments()), urls=json.dumps([uri(u) for u in urls])).load()
+        return spark.read.format("chunkrefs").options(parser=made, arguments=json.dumps(self.arguments()), urls=json.dumps([uri(u) for u in urls]), push=spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).load()
 
     def __call__(self, spark: SparkSession, url: str) -> VGroup:
-        rows = self.rows(spark, [url])
-        if not self.chunks_fit_driver:
-            rows = rows.cache()
-        return group_of(rows, self.group)
-
-    #: Files are parsed once for metadata and again when references are used, unless rows are cached.
-    chunks_fit_driver = True
+        return group_of(self.rows(spark, [url]), self.group)
 
 
 def group_of(rows: DataFrame, group: str | None = None, file: str | None = None) -> VGroup:

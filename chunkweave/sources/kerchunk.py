@@ -38,7 +38,9 @@ def extract_group(refs: DataFrame, group: str | None) -> DataFrame:
     found = refs.where(F.startswith("key", F.lit(group + "/")))
     if found.isEmpty():
         raise ValueError(f"Group {group!r} not found in the references")
-    return found.withColumn("key", F.substring("key", len(group) + 2, 1 << 30)).withColumn("value", F.when(F.endswith("key", F.lit(".zattrs")), F.regexp_replace("value", rf'(?<=")(?:/)?{group}/', "")).otherwise(F.col("value")))
+    # as it stands in JSON text, taken literally
+    quoted = r"\Q" + json.dumps(group, ensure_ascii=False)[1:-1].replace(r"\E", r"\E\\E\Q") + r"\E"
+    return found.withColumn("key", F.substring("key", len(group) + 2, 1 << 30)).withColumn("value", F.when(F.endswith("key", F.lit(".zattrs")), F.regexp_replace("value", rf'(?<=")(?:/)?{quoted}/', "")).otherwise(F.col("value")))
 
 
 def chunk_rows(refs: DataFrame, fs_root: str | None = None) -> DataFrame:

@@ -81,6 +81,17 @@ class VArray:
     def __array__(self, dtype=None, copy=None):
         raise NotImplementedError("virtual arrays can't be converted into numpy arrays; read them with chunkweave.read")
 
+    def __array_function__(self, func, types, args, kwargs):
+        """numpy's functions on virtual arrays, where there is an operator for them."""
+        from .operators.dispatch import FUNCTIONS
+
+        return FUNCTIONS[func](*args, **kwargs) if func in FUNCTIONS else NotImplemented
+
+    def __array_ufunc__(self, ufunc, method, *inputs, **kwargs):
+        from .operators.dispatch import UFUNCS
+
+        return UFUNCS[ufunc](*inputs) if method == "__call__" and ufunc in UFUNCS and not kwargs else NotImplemented
+
     # enumeration and lookup
 
     def keyed(self) -> DataFrame:
@@ -113,15 +124,14 @@ class VArray:
 
     # renaming
 
-    def rename_paths(self, new: str | Callable | Column) -> VArray:
-        """Other paths for the virtual chunks: one path, a Column, a function of a Column, or a function of strings."""
+    def rename_paths(self, new: str | Callable[[str], str] | Column) -> VArray:
+        """Other paths for the virtual chunks: one path, a Column made from column ``path``, or a function of strings, run on Arrow batches."""
         if isinstance(new, Column):
             path = new
         elif isinstance(new, str):
             path = F.lit(keys.uri(new))
         elif callable(new):
-            made = _of_column(new)
-            path = made(F.col("path"))
+            path = _of_strings(new)(F.col("path"))
         else:
             raise TypeError(f"new paths must be a string, Column or function, not {type(new).__name__}")
         return self.with_refs(self.refs.withColumn("path", F.when(F.col("data").isNull(), keys.normalise_uri(path))))
@@ -170,18 +180,8 @@ class VArray:
         return VArray(self.meta.replace(fill_value=fill_value), self.spark.createDataFrame([], REFS))
 
 
-def _of_column(f: Callable) -> Callable:
-    """``f`` applied to a Column, or as an Arrow function of strings if it doesn't take Columns."""
-
-    def apply(path: Column) -> Column:
-        try:
-            if isinstance(made := f(path), Column):
-                return made
-        except Exception:  # noqa: BLE001  written for strings
-            pass
-        import pyarrow as pa
-        from pyspark.sql.functions import arrow_udf
-
-        return arrow_udf(lambda c: pa.array([None if p is None else str(f(p)) for p in c.to_pylist()], pa.string()), "string")(path)
+def _of_strings(f: Callable[[str], str]) -> Callable[[Column], Column]:
+    import pyarrow as pa
+    from pyspark.sql.functions import arrow_udf
 
-    return apply
+    return arrow_udf(lambda c: pa.array([None if p is None else str(f(p)) for p in c.to_pylist()], pa.string()), "string")

@@ -579,3 +579,66 @@ def test_relational_checks(spark):
     assert checks.partial_arrays(arrays, 0).count() == 2 and checks.oversize_arrays(arrays).count() == 1 and checks.default_loadable(arrays).count() == 2 and checks.name_conflicts(arrays).count() == 1
     with pytest.raises(ValueError, match="different values for encoding key"):
         checks.same_encoding({"a": 1}, {"a": 2})
+
+
+# checksums, names, rewriting
+
+
+def test_checksums():
+    def slow_crc(data):
+        crc = 0xFFFFFFFF
+        for b in data:
+            crc ^= b
+            for _ in range(8):
+                crc = (crc >> 1) ^ (0x82F63B78 & -(crc & 1))
+        return crc ^ 0xFFFFFFFF
+
+    def slow_fletcher(data):
+        a = b = 0
+        for k in range(0, len(data), 2):
+            a += data[k] << 8 | (data[k + 1] if k + 1 < len(data) else 0)
+            a = (a & 0xFFFF) + (a >> 16)
+            b += a
+            b = (b & 0xFFFF) + (b >> 16)
+        return b << 16 | a
+
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 3, 4, 5, 63, 64, 65, 1000, 4097):
+        data = rnd.integers(0, 256, n, dtype=np.uint8).tobytes()
+        assert read._crc32c(data) == slow_crc(data) and read._fletcher32(data) == slow_fletcher(data)
+    assert read._crc32c(b"123456789") == 0xE3069283 and read._fletcher32(b"\xff\xff" * 4) == 0xFFFFFFFF == slow_fletcher(b"\xff\xff" * 4)
+    body = b"some bytes!"
+    assert read._unpack(body + struct.pack("<I", slow_fletcher(body)), {"name": "numcodecs.fletcher32"}) == body
+    with pytest.raises(ValueError, match="fletcher32"):
+        read._unpack(body + b"\0\0\0\0", {"name": "numcodecs.fletcher32"})
+
+
+@pytest.mark.parametrize("group", ["a(1", "a.b", r"q\\Ex", "plain"])
+def test_group_names_are_taken_literally(spark, group):
+    doc = document({"0.0": ["s3://b/f", 1, 2]}, prefix=f"{group}/")
+    assert KerchunkJSONParser(group=group)(spark, doc)["a"].meta.dims == ("x", "y")
+
+
+def test_kerchunk_parquet_rewrite(spark, tmp_path):
+    """A sparser dataset in the place of an older one: neither its references nor its variables stay."""
+    m = ArrayMeta((4,), (1,), "<i4", dims=("x",))
+    entry = lambda k: {"path": f"s3://b/f{k}", "offset": k, "length": 4}
+    full = VArray.from_dict(spark, m, {str(k): entry(k) for k in range(4)})
+    path = str(tmp_path / "refs.parq")
+    VDataset({"v": full, "old": full}).to_kerchunk(path, format="parquet", record_size=2)
+    VDataset({"v": VArray.from_dict(spark, m, {"0": entry(9)})}).to_kerchunk(path, format="parquet", record_size=2)
+    g = KerchunkParquetParser()(spark, path)
+    assert set(g) == {"v"} and {k: e["path"] for k, e in g["v"].dict().items()} == {"0": "s3://b/f9"}
+    assert sorted(p.name for p in (tmp_path / "refs.parq/v").glob("*.parq")) == ["refs.0.parq", "refs.1.parq"] and [p.name for p in tmp_path.iterdir()] == ["refs.parq"]
+    (tmp_path / "mine").mkdir()
+    (tmp_path / "mine/data").write_text("x")
+    with pytest.raises(FileExistsError):
+        VDataset({"v": full}).to_kerchunk(str(tmp_path / "mine"), format="parquet")
+
+
+def test_parsers_without_pushdown(spark, tmp_path):
+    """A session as Spark sets it up by itself opens files too."""
+    netcdf3(tmp_path / "a.nc", [0, 1])
+    other = spark.newSession()
+    other.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    assert api.open_virtual_dataset(other, str(tmp_path / "a.nc"), NetCDF3Parser())["v"].n_refs() == 2
