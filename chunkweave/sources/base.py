@@ -10,6 +10,7 @@ import json
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
@@ -119,7 +120,11 @@ class FileParser:
 
     def rows(self, spark: SparkSession, urls: list[str]) -> DataFrame:
         """:data:`ROWS` of all files, one task each."""
-        spark.dataSource.register(ChunkRefs)
+        try:
+            spark.dataSource.register(ChunkRefs)
+        except AnalysisException as e:
+            if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":  # by another session of this application
+                raise
         made = f"{type(self).__module__}:{type(self).__qualname__}"
         return spark.read.format("chunkrefs").options(parser=made, arguments=json.dumps(self.arguments()), urls=json.dumps([uri(u) for u in urls]), push=spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).load()
 
