@@ -639,6 +639,9 @@ def test_kerchunk_parquet_rewrite(spark, tmp_path):
 def test_parsers_without_pushdown(spark, tmp_path):
     """A session as Spark sets it up by itself opens files too."""
     netcdf3(tmp_path / "a.nc", [0, 1])
-    other = spark.newSession()
-    other.conf.set("spark.sql.python.filterPushdown.enabled", "false")
-    assert api.open_virtual_dataset(other, str(tmp_path / "a.nc"), NetCDF3Parser())["v"].n_refs() == 2
+    name = "spark.sql.python.filterPushdown.enabled"
+    spark.conf.set(name, "false")
+    try:
+        assert api.open_virtual_dataset(spark, str(tmp_path / "a.nc"), NetCDF3Parser())["v"].n_refs() == 2
+    finally:
+        spark.conf.set(name, "true")
