@@ -119,7 +119,7 @@ def _(s, sf):
     return _named(KerchunkJSONParser(group="r1", fs_root="s3://b", skip_variables=["n1"])(s, _nations(s, sf)).arrays)
 
 
-@query("open_datatree", "SELECT concat('/r', CAST(n_regionkey AS VARCHAR)) AS node, concat('n', CAST(n_nationkey AS VARCHAR)) AS name, 'x' AS dim FROM nation WHERE n_nationkey <> 2")
+@query("datatree_open", "SELECT concat('/r', CAST(n_regionkey AS VARCHAR)) AS node, concat('n', CAST(n_nationkey AS VARCHAR)) AS name, 'x' AS dim FROM nation WHERE n_nationkey <> 2")
 def _(s, sf):
     tree = api.open_virtual_datatree(s, _nations(s, sf), lambda spark, doc: VGroup(groups={n: KerchunkJSONParser(group=n, fs_root="s3://b")(spark, doc) for n in KerchunkJSONParser(fs_root="s3://b")(spark, doc).groups}), drop_variables=["n2"])
     return s.createDataFrame([(p, n, tree[p][n].meta.dims[0]) for p in tree if p != "/" for n in tree[p].variables], "node string, name string, dim string")
@@ -186,7 +186,7 @@ def _by_label(ds: VDataset, name: str = "total"):
     return read.read_elements(ds[name]).join(labels, "i0").select("day", F.round("value", 2).alias("total"))
 
 
-@query("open_netcdf", _TOTALS.format(where="WHERE year(o_orderdate) = (SELECT min(year(o_orderdate)) FROM orders)"))
+@query("netcdf_open", _TOTALS.format(where="WHERE year(o_orderdate) = (SELECT min(year(o_orderdate)) FROM orders)"))
 def _(s, sf):
     root = X.order_days_netcdf(s, sf)
     first = min(n for n in Folder(s, root).list() if n.endswith(".nc"))
