@@ -6,8 +6,10 @@ Each makes its files from the shared tables, goes through the operator, and has
 from __future__ import annotations
 
 import datetime
+import functools
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import api
@@ -21,6 +23,7 @@ from ..sinks.kerchunk import comparable
 from ..sinks.store import Store
 from ..sources.dmrpp import DMRPPParser
 from ..sources.fits import FITSParser
+from ..sources.hdf import HDFParser
 from ..sources.kerchunk import KerchunkJSONParser, KerchunkParquetParser
 from ..sources.netcdf3 import NetCDF3Parser
 from ..sources.store import StoreParser
@@ -221,6 +224,25 @@ def _(s, sf):
     return rows.where("kind = 'chunk'").groupBy(F.regexp_extract("file", "([^/]*)$", 1).alias("file"), "name").agg(F.count("*").alias("n"))
 
 
+@query("hdf5_mfdataset", _TOTALS.format(where=""))
+def _(s, sf):
+    return _by_label(api.open_virtual_mfdataset(s, X.order_days_hdf5(s, sf) + "/y*.h5", HDFParser()))
+
+
+@query("hdf5_parser_rows", "SELECT concat('y', CAST(y AS VARCHAR), '.h5') AS file, count(*) AS n FROM (SELECT DISTINCT year(o_orderdate) AS y, CAST(o_orderdate AS DATE) FROM orders) GROUP BY y")
+def _(s, sf):
+    root = X.order_days_hdf5(s, sf)
+    rows = HDFParser(skip_variables=["day"]).rows(s, [f"{root}/{n}" for n in Folder(s, root).list() if n.endswith(".h5")])
+    return rows.where("kind = 'chunk'").groupBy(F.regexp_extract("file", "([^/]*)$", 1).alias("file")).agg(F.count("*").alias("n"))
+
+
+@query("hdf5_groups", "SELECT r_name AS region, CAST(n_nationkey AS DOUBLE) AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(s, sf):
+    g = HDFParser()(s, X.regions_hdf5(s, sf))
+    parts = [read.read_elements(r["nations"]).select(F.lit(r["nations"].meta.attributes["region"]).alias("region"), "value") for r in g.groups.values()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query("fits_elements", "SELECT CAST((k - 1) // 10 AS BIGINT) AS i0, CAST((k - 1) % 10 AS BIGINT) AS i1, CAST(p_size AS DOUBLE) AS value FROM (SELECT p_size, row_number() OVER (ORDER BY p_partkey) AS k, count(*) OVER () AS n FROM part) WHERE k <= n // 10 * 10")
 def _(s, sf):
     return read.read_elements(FITSParser()(s, X.sizes_fits(s, sf))["PRIMARY"])

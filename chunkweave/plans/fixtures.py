@@ -21,6 +21,7 @@ from ..functions import keys
 from ..hfs import Folder
 from ..read import open_input  # noqa: F401  the reading counterpart of :func:`put`
 from . import manifests as M
+from .hdf5_files import Array, Writer
 
 #: Rows and columns of a chunk of the array of embeddings.
 ROWS, COLUMNS = 50, 16
@@ -129,6 +130,36 @@ def order_days_netcdf(spark: SparkSession, sf: str) -> str:
     return root
 
 
+def order_days_hdf5(spark: SparkSession, sf: str) -> str:
+    """Folder with an HDF5 file a year: each day's total a chunk each, behind another chunk index from year to year."""
+    root = place(spark, "hdf5")
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    days = M.table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year"), day.alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+    def write(table: pa.Table) -> pa.Table:
+        table = table.sort_by("day")
+        year = table.column("year")[0].as_py()
+        storage = ("tree", "fixed", "extensible", "tree2")[year % 4]
+        label = Array("day", table.column("day").to_numpy().astype("<i4"), is_scale=True)
+        limits = (None,) if storage in ("extensible", "tree2") else None
+        total = Array("total", table.column("total").to_numpy(), storage, (1,), limits, deflate=True, scales=("day",))
+        put(f"{root}/y{year}.h5", Writer(new=storage != "tree").file([label, total]))
+        return table.select(["year"]).slice(0, 1)
+
+    done(days.groupBy("year").applyInArrow(write, "year int"))
+    return root
+
+
+def regions_hdf5(spark: SparkSession, sf: str) -> str:
+    """HDF5 file with a group a region: the keys of its nations as a whole array, and the region's name as an attribute of it."""
+    root = place(spark, "regions")
+    groups = {}
+    for r in M.table(spark, sf, "nation").join(M.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", "r_name").agg(F.sort_array(F.collect_list("n_nationkey")).alias("keys")).collect():
+        groups[f"r{r['r_regionkey']}"] = [Array("nations", np.array(r["keys"], ">i4"), attributes={"region": r["r_name"]})]
+    Folder(spark, root).write("regions.h5", Writer(dense=True).file([], groups))
+    return f"{root}/regions.h5"
+
+
 def names_file(spark: SparkSession, sf: str, width: int = 16) -> tuple[str, DataFrame]:
     """One file with the name of each part in ``width`` bytes, and (n, offset): which part lies where."""
     root = place(spark, "names")

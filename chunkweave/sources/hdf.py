@@ -1,4 +1,4 @@
-"""HDF5 and netCDF4 files, where the optional reader library ``h5py`` is installed; rules about chunks, filters and dimensions stand alone."""
+"""HDF5 and netCDF4 files as virtual arrays: rules about chunks, filters, dimensions and attributes."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import warnings
 import numpy as np
 
 from ..meta import ArrayMeta, codec_from_v2, jsonable
+from . import hdf5
 from .base import FileParser, Parsed, ParsedFile
 
 #: Attributes that the format uses itself. Fixed values.
@@ -73,53 +74,76 @@ def dimension_names(name: str, rank: int, scales: list[list[str]], is_scale: boo
 
 
 def visible_attributes(attributes: dict) -> dict:
-    return {k: jsonable(v) for k, v in attributes.items() if k not in _HIDDEN and not (k == "_FillValue")}
+    """Those that the format doesn't use itself, arrays of one number as the number; ``_FillValue`` is set by its array."""
+    out = {}
+    for k, v in attributes.items():
+        if k not in _HIDDEN and k != "_FillValue":
+            single = isinstance(v, np.ndarray) and v.size == 1 and v.dtype.kind not in "SV"
+            out[k] = jsonable(v.ravel()[0] if single else v)
+    return out
 
 
 class HDFParser(FileParser):
-    """Needs ``h5py``."""
+    """HDF5 and netCDF4 files, read by the format itself (:mod:`.hdf5`).
+
+    Contiguous and chunked datasets become references, compact ones inlined bytes; what was never written is missing
+    and reads as fill.  Text of variable length keeps its metadata only, with a warning; other types without a numpy
+    counterpart, skipped filters, external and virtual storage are refused.  Links are followed inside the file.
+    """
 
     def __init__(self, group: str | None = None, drop_variables: list[str] | None = None, skip_variables: list[str] | None = None):
         super().__init__(group, [*(drop_variables or ()), *(skip_variables or ())])
 
     def parse(self, url: str) -> ParsedFile:
-        try:
-            import h5py
-        except ImportError as e:
-            raise ImportError("HDFParser needs the optional library h5py") from e
         out = ParsedFile()
-        with self.open(url) as raw, h5py.File(raw, "r") as f:
-            self._walk(h5py, f, "", url, out)
+        with self.open(url) as raw:
+            f = hdf5.File(raw)
+            found = list(f.walk())
+            names: dict[int, str] = {}
+            for path, node in found:
+                names.setdefault(node.address, "/" + path)
+            for path, node in found:
+                where, _, name = path.rpartition("/")
+                if any(p in self.skip_variables for p in path.split("/")):
+                    continue
+                if isinstance(node, hdf5.Group):
+                    out.groups[path] = visible_attributes(node.attributes)
+                elif not _text(node.attributes.get("NAME", "")).startswith(_NO_COORDINATE):
+                    out.arrays.append(self._array(f, node, where, name, url, names))
         return out
 
-    def _walk(self, h5py, node, where: str, url: str, out: ParsedFile) -> None:
-        out.groups[where] = visible_attributes(dict(node.attrs))
-        for name, child in node.items():
-            if isinstance(child, h5py.Group):
-                self._walk(h5py, child, f"{where}/{name}".lstrip("/"), url, out)
-            elif not str(child.attrs.get("NAME", b"")).lstrip("b'").startswith(_NO_COORDINATE):
-                out.arrays.append(self._array(h5py, child, where, name, url))
-
-    def _array(self, h5py, d, where: str, name: str, url: str) -> Parsed:
-        dtype = d.dtype
-        if dtype == np.dtype(object):
-            if h5py.check_string_dtype(dtype) is None:
-                raise NotImplementedError(f"{name}: dtype object that isn't text")
+    def _array(self, f: hdf5.File, d: hdf5.Dataset, where: str, name: str, url: str, names: dict[int, str]) -> Parsed:
+        dtype, shape = d.type.dtype, d.shape
+        if d.type.kind == "text":
             warnings.warn(f"{name}: text of variable length has references to metadata only", UserWarning, stacklevel=2)
-        filters = {k: v for k, v in d._filters.items() if k != "shuffle"} if hasattr(d, "_filters") else {}
-        codecs = filter_codecs({**({"shuffle": ()} if d.shuffle else {}), **filters}, dtype.itemsize)
-        edges = chunk_shape(d.shape, d.chunks, bool(codecs))
-        attrs = visible_attributes(dict(d.attrs))
-        if "_FillValue" in d.attrs:
-            attrs["_FillValue"] = jsonable(np.asarray(d.attrs["_FillValue"]).ravel()[0])
-        scales = [[s.name for s in dim.values()] for dim in d.dims]
-        meta = ArrayMeta(d.shape, edges, dtype, jsonable(d.fillvalue) if dtype.kind in "iufb" else None, tuple(codecs), attrs, dimension_names(name, d.ndim, scales, bool(d.is_scale)))
-        chunks = []
-        if d.id.get_offset() is not None and d.chunks is None and d.size:
-            chunks = [([0] * d.ndim, url, d.id.get_offset(), d.id.get_storage_size(), None)]
-        elif d.chunks is not None:
-            cut = math.prod(edges) * dtype.itemsize if edges != tuple(d.chunks) else None
-            for k in range(d.id.get_num_chunks()):
-                c = d.id.get_chunk_info(k)
-                chunks.append(([a // n for a, n in zip(c.chunk_offset, d.chunks, strict=True)], url, c.byte_offset, cut or c.size, None))
-        return Parsed(name, meta, chunks, where)
+            dtype = np.dtype(object)
+        elif d.type.kind != "plain" or dtype.subdtype:
+            raise NotImplementedError(f"{name}: values of a type that numpy's arrays of one type don't hold")
+        if shape is None:
+            raise NotImplementedError(f"{name}: a dataset without a shape")
+        codecs = filter_codecs(dict(d.filters), d.type.size)
+        edges = chunk_shape(shape, d.chunks, bool(codecs))
+        attrs = visible_attributes(d.attributes)
+        if "_FillValue" in d.attributes:
+            attrs["_FillValue"] = jsonable(np.asarray(d.attributes["_FillValue"]).ravel()[0])
+        listed = d.attributes.get("DIMENSION_LIST", [])
+        scales = [[names[int(a)] for a in own if int(a) in names] for own in listed]
+        is_scale = _text(d.attributes.get("CLASS", "")) == "DIMENSION_SCALE"
+        fill = jsonable(d.fill) if dtype.kind in "iufb" and d.fill is not None else None
+        meta = ArrayMeta(shape, edges, dtype, fill, tuple(codecs), attrs, dimension_names(name, len(shape), scales, is_scale))
+        return Parsed(name, meta, [] if dtype == np.dtype(object) else self._chunks(f, d, edges, url), where)
+
+    def _chunks(self, f: hdf5.File, d: hdf5.Dataset, edges: tuple[int, ...], url: str) -> list[tuple]:
+        origin = [0] * len(d.shape)
+        if 0 in d.shape:
+            return []
+        if d.data is not None:
+            return [(origin, None, None, len(d.data), d.data)]
+        if d.chunks is None:
+            return [(origin, url, d.offset + f.base, d.size, None)] if d.offset is not None else []
+        cut = math.prod(edges) * d.type.size if edges != d.chunks else None
+        return [(list(idx), url, at, cut or n, None) for idx, at, n in f.chunks(d)]
+
+
+def _text(value) -> str:
+    return value.rstrip(b"\0").decode("utf-8", "replace") if isinstance(value, bytes) else str(value)
