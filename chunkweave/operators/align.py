@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import at_axis
 from ..meta import ceil_div
 from ..varray import VArray
+from . import ranges
 
 
 def positions(target: DataFrame, source: DataFrame) -> DataFrame:
@@ -45,8 +46,7 @@ def join_labels(coords: list[DataFrame], how: str = "outer") -> DataFrame:
     grouped = all_.groupBy("label").agg(F.count("*").alias("n"))
     if how == "inner":
         grouped = grouped.where(F.col("n") == len(coords))
-    # one axis' labels: a few numbers for each step of the coordinate, however many chunks refer to it
-    return grouped.select((F.row_number().over(Window.orderBy("label")) - 1).cast("bigint").alias("pos"), "label")
+    return ranges.row_numbers(grouped.select("label"), "label", "pos").select("pos", "label")
 
 
 def chunk_map(map_: DataFrame, chunk: int, source_len: int) -> DataFrame:
@@ -145,18 +145,41 @@ def coords_frame(spark: SparkSession, labels) -> DataFrame:
 
 
 def file_order(labels: DataFrame) -> DataFrame:
-    """file, first, last, ord, overlaps of files by their coordinate: labels is (file, label). Ranks run over files, a row each."""
-    spans = labels.groupBy("file").agg(F.min("label").alias("first"), F.max("label").alias("last"))
-    order = Window.orderBy("first", "file")
-    return spans.withColumns({"ord": (F.dense_rank().over(Window.orderBy("first")) - 1).cast("bigint"), "overlaps": F.coalesce(F.lead("first").over(order) <= F.col("last"), F.lit(False))})
+    """file, first, last, ord, overlaps of files by their coordinate: labels is (file, label)."""
+    spans = ranges.in_buckets(labels.groupBy("file").agg(F.min("label").alias("first"), F.max("label").alias("last")), "first")
+    rank = F.dense_rank().over(Window.partitionBy(ranges.BUCKET).orderBy("first")) - 1
+    following = F.lead("first").over(Window.partitionBy(ranges.BUCKET).orderBy("first", "file"))
+    # a row a bucket: distinct starts before it, and the first start after it
+    every = spans.groupBy(ranges.BUCKET).agg(F.min("first").alias("_low"), F.countDistinct("first").alias("_n"))
+    order = Window.orderBy(ranges.BUCKET)
+    every = every.select(ranges.BUCKET, F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_low").over(order).alias("_next"))
+    found = spans.withColumns({"_rank": rank, "_following": following}).join(F.broadcast(every), ranges.BUCKET)
+    overlaps = F.coalesce(F.coalesce("_following", "_next") <= F.col("last"), F.lit(False))
+    return found.select("file", "first", "last", (F.col("_rank") + F.col("_before")).cast("bigint").alias("ord"), overlaps.alias("overlaps"))
 
 
 def nearest(coords: DataFrame, wanted: DataFrame) -> DataFrame:
-    """label, pos of the closest coordinate (pos, label) of each wanted label: an ordered pass over both, no pairs."""
-    both = coords.select("label", F.col("pos").alias("p"), F.lit(0).alias("w")).unionByName(wanted.select("label", F.lit(None).cast("bigint").alias("p"), F.lit(1).alias("w")))
-    mine = F.when(F.col("w") == 0, F.struct("label", "p"))
-    before = F.last(mine, ignorenulls=True).over(Window.orderBy("label", "w").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(mine, ignorenulls=True).over(Window.orderBy("label", "w").rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"before": before, "after": after}).where("w = 1")
+    """label, pos of the closest coordinate (pos, label) of each wanted label; of two as close, the lower.
+
+    An ordered pass over both inside buckets of labels, without pairs; repeated wanted labels take part once.  A null
+    wanted label gets the first coordinate's place, any gets null where there are no coordinates.
+    """
+    once = wanted.groupBy("label").agg(F.count("*").alias("n"))
+    both = coords.select("label", F.col("pos").cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("n")).where("label IS NOT NULL").unionByName(once.select("label", F.lit(None).cast("bigint").alias("p"), "n"))
+    both = both.withColumn(ranges.BUCKET, ranges.bucket("label", ranges.bounds(both, "label"), both))
+    mine = F.when(F.col("p").isNotNull(), F.struct("label", "p"))
+    # a row a bucket: the closest coordinates outside of it
+    order = Window.orderBy(ranges.BUCKET)
+    edges = both.groupBy(ranges.BUCKET).agg(F.min(mine).alias("_low"), F.max(mine).alias("_high")).select(
+        ranges.BUCKET,
+        F.last("_high", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
+        F.first("_low", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_above"),
+    )
+    inside = Window.partitionBy(ranges.BUCKET).orderBy("label", F.col("p").isNull(), "p")
+    before = F.last(mine, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(mine, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    found = both.withColumns({"_before": before, "_after": after}).where("n > 0").join(F.broadcast(edges), ranges.BUCKET)
+    found = found.select("label", "n", F.coalesce("_before", "_below").alias("before"), F.coalesce("_after", "_above").alias("after"))
     use_after = F.col("before").isNull() | (F.col("after").isNotNull() & (F.col("after.label") - F.col("label") < F.col("label") - F.col("before.label")))
-    return found.select("label", F.when(use_after, F.col("after.p")).otherwise(F.col("before.p")).alias("pos"))
+    place = F.when(use_after, F.col("after.p")).otherwise(F.col("before.p"))
+    return found.select("label", place.alias("pos"), "n").select("label", "pos", F.explode(F.sequence(F.lit(1).cast("bigint"), "n"))).select("label", "pos")

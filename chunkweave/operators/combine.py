@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import at_axis
 from ..meta import ArrayMeta, ceil_div
 from ..varray import COLUMNS, VArray
-from . import checks
+from . import checks, ranges
 
 
 def _metas(arrays: list[VArray]) -> list[ArrayMeta]:
@@ -120,8 +120,7 @@ def concat_files(refs: DataFrame, files: DataFrame, axis: int) -> DataFrame:
     refs: file, idx, ...; files: file, ord, grid_len (chunks on the axis).  The prefix sum runs over the files,
     a row each, and joins the references by file.
     """
-    order = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("file", F.coalesce(F.sum("grid_len").over(order), F.lit(0)).cast("bigint").alias("_start"))
+    starts = ranges.sums_before(files.select("file", "ord", "grid_len"), "ord", "grid_len", "_start").select("file", "_start")
     return refs.join(starts, "file").withColumn("idx", at_axis(F.col("idx"), axis, lambda x: x + F.col("_start"))).drop("_start")
 
 
