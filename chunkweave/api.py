@@ -13,20 +13,24 @@ from . import dataset as D
 from .dataset import Loaded, VDataset, VGroup, VTree
 from .functions import keys
 from .operators.combine import concat_files
-from .read import cf_decode, read_array
-from .sources.base import FileParser, group_of
+from .read import cf_decode, read_array, read_arrays
+from .sources.base import FileParser, groups_of
 from .varray import VArray
 
 
-def _dataset(group: VGroup, drop_variables, loadable_variables, decode_times: bool) -> VDataset:
-    """The dataset of a group, with variables loaded: by default those named after their only dimension."""
+def _wanted(group: VGroup, names, loadable_variables) -> list[str]:
+    return [n for n in (D.default_loadable(group) if loadable_variables is None else loadable_variables) if n in names]
+
+
+def _dataset(group: VGroup, drop_variables, loadable_variables, decode_times: bool, values: dict[str, np.ndarray] | None = None) -> VDataset:
+    """The dataset of a group, with variables loaded, from ``values`` where given: by default those named after their only dimension."""
     D.check_collision(drop_variables, loadable_variables)
     if loadable_variables is not None and (isinstance(loadable_variables, str) or not isinstance(loadable_variables, Iterable)):
         raise ValueError("loadable_variables must be a list of names, or None")
     ds = group.to_dataset()
     dropped = {drop_variables} if isinstance(drop_variables, str) else set(drop_variables or ())
     ds = ds.drop_vars(dropped & set(ds.variables))
-    wanted = [n for n in D.default_loadable(group) if n in ds] if loadable_variables is None else [n for n in loadable_variables if n in ds]
+    wanted = _wanted(group, ds.variables, loadable_variables)
     for n, v in ds.variables.items():
         if isinstance(v, VArray) and any(c > max(1, s) for c, s in zip(v.chunks, v.shape, strict=True)):
             warnings.warn(f"variable {n!r} has chunks {v.chunks} larger than its shape {v.shape}", UserWarning, stacklevel=3)
@@ -34,8 +38,9 @@ def _dataset(group: VGroup, drop_variables, loadable_variables, decode_times: bo
     for n in wanted:
         v = ds.variables[n]
         if isinstance(v, VArray):
-            values, attrs = cf_decode(read_array(v), v.meta.attributes, decode_times)
-            out[n] = Loaded(v.meta.dims or (), values, attrs, {k: v.meta.attributes[k] for k in ("units", "calendar") if k in v.meta.attributes and k not in attrs})
+            raw = values[n] if values is not None and n in values else read_array(v)
+            decoded, attrs = cf_decode(raw, v.meta.attributes, decode_times)
+            out[n] = Loaded(v.meta.dims or (), decoded, attrs, {k: v.meta.attributes[k] for k in ("units", "calendar") if k in v.meta.attributes and k not in attrs})
     return VDataset(out, ds.coords, ds.attributes)
 
 
@@ -77,7 +82,7 @@ def open_virtual_mfdataset(
     spark: SparkSession, urls, parser, concat_dim=None, compat: str = "no_conflicts", preprocess: Callable[[VDataset], VDataset] | None = None, data_vars: str = "all", coords: str = "different",
     combine: str = "by_coords", join: str = "outer", attrs_file: str | None = None, combine_attrs: str = "override", drop_variables=None, loadable_variables=None, decode_times: bool = True, parallel: bool | str | None = None,
 ) -> VDataset:
-    """Many files as one dataset; parsing runs as one job for parsers of single files. ``parallel`` may say so: True, False, None or 'spark' are alike."""
+    """Many files as one dataset; for parsers of single files, parsing is one job and loading variables another. ``parallel`` may say so: True, False, None or 'spark' are alike."""
     if parallel not in (None, True, False, "spark"):
         raise ValueError(f"Invalid value for `parallel`: {parallel!r}; files are parsed by Spark tasks")
     urls = _paths(spark, urls)
@@ -93,8 +98,11 @@ def open_virtual_mfdataset(
     if isinstance(parser, FileParser):
         names = [keys.uri(u) for u in flat]
         rows = parser.rows(spark, names).cache()
+        D.check_collision(drop_variables, loadable_variables)
+        groups = groups_of(rows, parser.group)
+        values = _load(rows, parser.group, groups, drop_variables, loadable_variables)
         for u, name in zip(flat, names, strict=True):
-            opened[u] = _dataset(group_of(rows, parser.group, name), drop_variables, loadable_variables, decode_times)
+            opened[u] = _dataset(groups.get(name, VGroup()), drop_variables, loadable_variables, decode_times, values.get(name, {}))
             opened[u].encoding["source"] = name
     else:
         for u in flat:
@@ -116,6 +124,20 @@ def open_virtual_mfdataset(
     return out
 
 
+def _load(rows, group: str | None, groups: dict[str, VGroup], drop_variables, loadable_variables) -> dict[str, dict[str, np.ndarray]]:
+    """Undecoded values of the variables to load, by file and name."""
+    dropped = {drop_variables} if isinstance(drop_variables, str) else set(drop_variables or ())
+    given = None if isinstance(loadable_variables, str) else loadable_variables
+    metas = {(f, n): g.arrays[n].meta for f, g in groups.items() for n in _wanted(g, g.arrays.keys() - dropped, given)}
+    out: dict[str, dict[str, np.ndarray]] = {}
+    if metas:
+        own = (F.col("kind") == "chunk") & (F.col("grp") == (group or "").strip("/")) & F.col("name").isin(sorted({n for _, n in metas}))
+        found = read_arrays(rows.where(own).select("file", "name", "idx", "path", "offset", "length", "data"), metas)
+        for (f, n), v in found.items():
+            out.setdefault(f, {})[n] = v
+    return out
+
+
 def _one_dim(datasets: list[VDataset], concat_dim: str | None, combine: str) -> tuple[str, list[int]] | None:
     """The one existing dimension that the files differ in and their order, if one pass over all references will do: every virtual variable has it, all else is alike."""
     first = datasets[0]

@@ -17,6 +17,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ def open_input(uri: str):
     return found.open_input_file(path)
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ranges(batches: Iterator[pa.RecordBatch], kept: tuple[str, ...] = ("idx",)) -> Iterator[pa.RecordBatch]:
     held, name = None, None
     try:
         for batch in batches:
@@ -52,7 +53,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         held.close()
                     held, name = open_input(path), path
                 out.append(held.read_at(length, offset))
-            yield pa.RecordBatch.from_arrays([batch.column("idx"), pa.array(out, pa.binary())], ["idx", "bytes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], [*kept, "bytes"])
     finally:
         if held is not None:
             held.close()
@@ -63,10 +64,14 @@ def read_bytes(arr: VArray, start: int | None = None, end: int | None = None, su
     refs = arr.refs
     base_ = F.when(F.col("data").isNull(), F.col("offset")).otherwise(F.lit(0))
     off, n = keys.resolve_range(base_.cast("bigint"), F.col("length"), start, end, suffix)
-    refs = refs.select("idx", "path", off.alias("offset"), n.alias("length"), "data")
-    parts = int(arr.spark.conf.get("spark.sql.shuffle.partitions"))
+    return _read(refs.select("idx", "path", off.alias("offset"), n.alias("length"), "data"))
+
+
+def _read(refs: DataFrame, kept: tuple[str, ...] = ("idx",)) -> DataFrame:
+    parts = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = ", ".join(f"{c} {refs.schema[c].dataType.simpleString()}" for c in kept)
     # a large file's chunks are dealt to several tasks, a span of neighbours each
-    return refs.repartition(parts, "path", F.expr("offset div 268435456")).sortWithinPartitions("path", "offset").mapInArrow(_ranges, "idx array<bigint>, bytes binary")
+    return refs.repartition(parts, "path", F.expr("offset div 268435456")).sortWithinPartitions("path", "offset").mapInArrow(partial(_ranges, kept=kept), f"{kinds}, bytes binary")
 
 
 def get(group, key: str, start: int | None = None, end: int | None = None, suffix: int | None = None) -> bytes | None:
@@ -147,6 +152,79 @@ def _fletcher32(data: bytes) -> int:
     return fold(second) << 16 | fold(first)
 
 
+def _lzf(data: bytes) -> bytes:
+    """Literal runs, and copies of what came up to 8192 bytes before."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        head = data[at]
+        at += 1
+        if head < 32:
+            out += data[at : at + head + 1]
+            at += head + 1
+            continue
+        n = head >> 5
+        if n == 7:
+            n += data[at]
+            at += 1
+        back = ((head & 31) << 8 | data[at]) + 1
+        at += 1
+        n += 2
+        if back > len(out):
+            raise ValueError("a copy from before the beginning of lzf data")
+        start = len(out) - back
+        whole = bytes(out[start : start + n])
+        out += (whole * (n // len(whole) + 1))[:n]  # a copy may run into itself
+    return bytes(out)
+
+
+def _blosc(data: bytes) -> bytes:
+    """Version 1 containers: blocks, each whole or in a stream for each byte of an element, then unshuffled."""
+    flags, size = data[2], data[3]
+    total, block = struct.unpack_from("<ii", data, 4)
+    if flags & 2:
+        return data[16 : 16 + total]
+    if not total:
+        return b""
+    out = []
+    for k in range(-(-total // block)):
+        at = struct.unpack_from("<i", data, 16 + 4 * k)[0]
+        own = min(block, total - k * block)
+        split = not flags & 16 and own == block and 1 < size <= 16 and block // size >= 128
+        parts = []
+        for _ in range(size if split else 1):
+            n, whole = struct.unpack_from("<i", data, at)[0], own // size if split else own
+            raw = data[at + 4 : at + 4 + n]
+            parts.append(raw if n == whole else _blosc_stream(raw, whole, flags >> 5))
+            at += 4 + n
+        out.append(_unshuffled(b"".join(parts), size, flags))
+    return b"".join(out)
+
+
+def _blosc_stream(raw: bytes, n: int, kind: int) -> bytes:
+    if kind == 3:
+        return zlib.decompress(raw)
+    if kind == 4:
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(raw, max_output_size=n)
+    if kind in (1, 2):
+        return pa.Codec("lz4_raw" if kind == 1 else "snappy").decompress(raw, n).to_pybytes()
+    raise NotImplementedError("blosc data packed by blosclz can't be decoded here")
+
+
+def _unshuffled(data: bytes, size: int, flags: int) -> bytes:
+    n = len(data) // size
+    whole, rest = np.frombuffer(data[: n * size], np.uint8), data[n * size :]
+    if flags & 1 and size > 1:
+        return whole.reshape(size, n).T.tobytes() + rest
+    if flags & 4 and n:
+        if n % 8:
+            raise NotImplementedError("blosc bits of a number of elements that isn't a multiple of eight")
+        bits = np.unpackbits(whole.reshape(size * 8, n // 8), axis=1, bitorder="little")
+        return np.packbits(bits.T, axis=1, bitorder="little").tobytes() + rest
+    return data
+
+
 def _unpack(data: bytes, codec: dict) -> bytes:
     name, config = codec["name"].removeprefix("numcodecs."), codec.get("configuration", {})
     if name == "zlib":
@@ -164,6 +242,10 @@ def _unpack(data: bytes, codec: dict) -> bytes:
     if name == "lz4":
         size = struct.unpack("<I", data[:4])[0]
         return pa.Codec("lz4_raw").decompress(data[4:], size).to_pybytes()
+    if name in ("lzf", "imagecodecs_lzf"):
+        return _lzf(data)
+    if name == "blosc":
+        return _blosc(data)
     if name == "shuffle":
         n = config["elementsize"]
         whole = len(data) // n * n
@@ -292,15 +374,32 @@ def read_elements(arr: VArray) -> DataFrame:
 
 def read_array(arr: VArray) -> np.ndarray:
     """The whole array on the driver, missing chunks filled: for small arrays."""
-    meta = arr.meta
-    out = np.full(meta.shape, meta.fill_scalar() if meta.dtype != np.dtype(object) else "", meta.dtype)
+    out = _unwritten(arr.meta)
     for r in read_bytes(arr).toLocalIterator():
-        at = tuple(slice(i * c, min((i + 1) * c, s)) for i, c, s in zip(r["idx"], meta.chunks, meta.shape, strict=True))
-        values = decode(bytes(r["bytes"]), meta)
-        out[at] = values[tuple(slice(0, s.stop - s.start) for s in at)]
+        _place(out, arr.meta, r["idx"], bytes(r["bytes"]))
+    return out
+
+
+def read_arrays(rows: DataFrame, metas: dict[tuple[str, str], ArrayMeta]) -> dict[tuple[str, str], np.ndarray]:
+    """Whole small arrays of many files by (file, name), in one job: rows are file, name, idx, path, offset, length, data."""
+    out = {k: _unwritten(m) for k, m in metas.items()}
+    rows = rows.withColumn("offset", F.when(F.col("data").isNull(), F.col("offset")).otherwise(F.lit(0)))
+    for r in _read(rows, ("file", "name", "idx")).toLocalIterator():
+        key = r["file"], r["name"]
+        if key in out:
+            _place(out[key], metas[key], r["idx"], bytes(r["bytes"]))
     return out
 
 
+def _unwritten(meta: ArrayMeta) -> np.ndarray:
+    return np.full(meta.shape, meta.fill_scalar() if meta.dtype != np.dtype(object) else "", meta.dtype)
+
+
+def _place(out: np.ndarray, meta: ArrayMeta, idx, data: bytes) -> None:
+    at = tuple(slice(i * c, min((i + 1) * c, s)) for i, c, s in zip(idx, meta.chunks, meta.shape, strict=True))
+    out[at] = decode(data, meta)[tuple(slice(0, s.stop - s.start) for s in at)]
+
+
 # CF conventions
 
 

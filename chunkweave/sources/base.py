@@ -131,6 +131,18 @@ def group_of(rows: DataFrame, group: str | None = None, file: str | None = None)
     """The group tree of one file's :data:`ROWS`."""
     if file is not None:
         rows = rows.where(F.col("file") == file)
+    return _tree(rows, rows.where("kind <> 'chunk'").select("grp", "name", "kind", "meta").collect()).group(group)
+
+
+def groups_of(rows: DataFrame, group: str | None = None) -> dict[str, VGroup]:
+    """The group trees of all files in :data:`ROWS`, whose metadata come in one job."""
+    found: dict[str, list] = {}
+    for r in rows.where("kind <> 'chunk'").select("file", "grp", "name", "kind", "meta").collect():
+        found.setdefault(r["file"], []).append(r)
+    return {file: _tree(rows.where(F.col("file") == file), own).group(group) for file, own in found.items()}
+
+
+def _tree(rows: DataFrame, found: list) -> VGroup:
     root = VGroup()
 
     def at(path: str) -> VGroup:
@@ -140,10 +152,12 @@ def group_of(rows: DataFrame, group: str | None = None, file: str | None = None)
                 node = node.groups.setdefault(p, VGroup())
         return node
 
-    for r in rows.where("kind <> 'chunk'").select("grp", "name", "kind", "meta").collect():
+    for r in found:
         node = at(r["grp"])
         if r["kind"] == "group":
             node.attributes.update(json.loads(r["meta"]))
         else:
-            node.arrays[r["name"]] = VArray(ArrayMeta.from_row(json.loads(r["meta"])), rows.where((F.col("kind") == "chunk") & (F.col("grp") == r["grp"]) & (F.col("name") == r["name"])).select("idx", "path", "offset", "length", "data"))
-    return root.group(group)
+            own = (F.col("kind") == "chunk") & (F.col("grp") == r["grp"]) & (F.col("name") == r["name"])
+            refs = rows.where(own).select("idx", "path", "offset", "length", "data")
+            node.arrays[r["name"]] = VArray(ArrayMeta.from_row(json.loads(r["meta"])), refs)
+    return root

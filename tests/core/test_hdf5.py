@@ -166,3 +166,57 @@ def test_through_spark(spark, tmp_path):
     np.testing.assert_array_equal(got["value"], np.arange(60.0))
     inner = api.open_virtual_dataset(spark, str(tmp_path / "f0.nc"), HDFParser(group="g"), loadable_variables=["w"])
     np.testing.assert_array_equal(inner["w"].values, GRID)
+
+
+def test_lzf():
+    unpack = lambda data: read._unpack(data, {"name": "numcodecs.imagecodecs_lzf"})
+    assert unpack(b"") == b"" and unpack(b"\x02abc") == b"abc"
+    assert unpack(b"\x02abc\x20\x02") == b"abcabc"  # three bytes from three back
+    assert unpack(b"\x00a\xe0\x0a\x00") == b"a" * 20  # a copy that runs into itself
+    with pytest.raises(ValueError):
+        unpack(b"\x00a\x20\x05")
+
+
+def packed(values, kind, shuffle, split, block):
+    """A blosc container by its rules, written here."""
+    import struct
+    import zlib
+
+    import pyarrow as pa
+    import zstandard
+
+    press = {1: lambda b: pa.Codec("lz4_raw").compress(b).to_pybytes(), 2: lambda b: pa.Codec("snappy").compress(b).to_pybytes(), 3: zlib.compress, 4: zstandard.ZstdCompressor().compress}[kind]
+    raw, size = values.tobytes(), values.itemsize
+    starts, body = [], b""
+    blocks = [raw[k : k + block] for k in range(0, len(raw), block)]
+    for b in blocks:
+        a = np.frombuffer(b, np.uint8).reshape(-1, size)
+        if shuffle == 1:
+            b = a.T.tobytes()
+        elif shuffle == 4:
+            b = np.packbits(np.unpackbits(a, axis=1, bitorder="little").T, axis=1, bitorder="little").tobytes()
+        starts.append(16 + 4 * len(blocks) + len(body))
+        streams = [b[k : k + len(b) // size] for k in range(0, len(b), len(b) // size)] if split and len(b) == block else [b]
+        for s in streams:
+            p = press(s)
+            p = s if len(p) >= len(s) else p
+            body += struct.pack("<i", len(p)) + p
+    head = bytes([2, 1, shuffle | kind << 5 | (0 if split else 16), size]) + struct.pack("<iii", len(raw), block, 0)
+    return head + b"".join(struct.pack("<i", s) for s in starts) + body
+
+
+@pytest.mark.parametrize("kind", [1, 2, 3, 4])
+@pytest.mark.parametrize("shuffle", [0, 1, 4])
+@pytest.mark.parametrize("split", [False, True])
+def test_blosc(kind, shuffle, split):
+    values = (np.arange(5000, dtype="<i4") ** 2)[: 4096 + 800]
+    unpack = lambda data: read._unpack(data, {"name": "numcodecs.blosc"})
+    assert unpack(packed(values, kind, shuffle, split, 4096)) == values.tobytes()
+
+
+def test_blosc_stored_and_refused():
+    raw = bytes(range(100))
+    head = lambda flags: bytes([2, 1, flags, 1]) + len(raw).to_bytes(4, "little") + (100).to_bytes(4, "little") + bytes(4)
+    assert read._unpack(head(2) + raw, {"name": "numcodecs.blosc"}) == raw
+    with pytest.raises(NotImplementedError):
+        read._unpack(head(16) + (20).to_bytes(4, "little") + (5).to_bytes(4, "little") + raw[:5], {"name": "numcodecs.blosc"})
