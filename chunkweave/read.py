@@ -177,6 +177,18 @@ def _lzf(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _lz4_blocks(data: bytes) -> bytes:
+    """HDF5's own framing: the whole size and that of a block, then blocks behind their sizes, big-endian; stored where as long as they were."""
+    total, block = struct.unpack_from(">qi", data)
+    at, out = 12, []
+    for start in range(0, total, block or 1):
+        own, n = min(block, total - start), struct.unpack_from(">i", data, at)[0]
+        raw = data[at + 4 : at + 4 + n]
+        out.append(raw if n == own else pa.Codec("lz4_raw").decompress(raw, own).to_pybytes())
+        at += 4 + n
+    return b"".join(out)
+
+
 def _blosc(data: bytes) -> bytes:
     """Version 1 containers: blocks, each whole or in a stream for each byte of an element, then unshuffled."""
     flags, size = data[2], data[3]
@@ -244,6 +256,8 @@ def _unpack(data: bytes, codec: dict) -> bytes:
         return pa.Codec("lz4_raw").decompress(data[4:], size).to_pybytes()
     if name in ("lzf", "imagecodecs_lzf"):
         return _lzf(data)
+    if name == "imagecodecs_lz4h5":
+        return _lz4_blocks(data)
     if name == "blosc":
         return _blosc(data)
     if name == "shuffle":

@@ -44,7 +44,7 @@ def filter_codecs(filters: dict, itemsize: int) -> list[dict]:
             names = ("blosclz", "lz4", "lz4hc", "snappy", "zlib", "zstd")
             out.append(codec_from_v2({"id": "blosc", "cname": names[options[6]] if len(options) > 6 else "blosclz", "clevel": options[4], "shuffle": options[5], "blocksize": 0}))
         elif key in ("32004", "lz4"):
-            out.append(codec_from_v2({"id": "lz4"}))
+            out.append(codec_from_v2({"id": "imagecodecs_lz4h5"}))
         elif key in ("32015", "zstd"):
             out.append(codec_from_v2({"id": "zstd", "level": options[0] if options else 3}))
         elif key in ("307", "bzip2"):

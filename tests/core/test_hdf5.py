@@ -220,3 +220,17 @@ def test_blosc_stored_and_refused():
     assert read._unpack(head(2) + raw, {"name": "numcodecs.blosc"}) == raw
     with pytest.raises(NotImplementedError):
         read._unpack(head(16) + (20).to_bytes(4, "little") + (5).to_bytes(4, "little") + raw[:5], {"name": "numcodecs.blosc"})
+
+
+def test_lz4_blocks():
+    import struct
+
+    import pyarrow as pa
+
+    raw = b"abcd" * 100 + bytes(range(50))
+    body = b""
+    for k in range(0, len(raw), 128):
+        p = pa.Codec("lz4_raw").compress(raw[k : k + 128]).to_pybytes()
+        p = raw[k : k + 128] if len(p) >= len(raw[k : k + 128]) else p
+        body += struct.pack(">i", len(p)) + p
+    assert read._unpack(struct.pack(">qi", len(raw), 128) + body, {"name": "numcodecs.imagecodecs_lz4h5"}) == raw
