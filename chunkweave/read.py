@@ -191,8 +191,12 @@ def _lz4_blocks(data: bytes) -> bytes:
 
 def _blosc(data: bytes) -> bytes:
     """Version 1 containers: blocks, each whole or in a stream for each byte of an element, then unshuffled."""
+    if len(data) < 16 or data[0] not in (1, 2) or not data[3]:
+        raise ValueError("no blosc container of version 1")
     flags, size = data[2], data[3]
     total, block = struct.unpack_from("<ii", data, 4)
+    if total < 0 or total and not flags & 2 and not 0 < block:
+        raise ValueError("wrong sizes in a blosc container")
     if flags & 2:
         return data[16 : 16 + total]
     if not total:

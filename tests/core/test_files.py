@@ -208,7 +208,7 @@ def test_decode(spark):
     with pytest.raises(ValueError):
         read.decode(b"0000" + v.tobytes(), m(codec_from_v2({"id": "crc32"})))
     with pytest.raises(NotImplementedError):
-        read.decode(v.tobytes(), m(codec_from_v2({"id": "blosc"})))
+        read.decode(v.tobytes(), m(codec_from_v2({"id": "pcodec"})))
     import zstandard
 
     assert (read.decode(zstandard.compress(v.tobytes()), m(codec_from_v2({"id": "zstd"}))) == v).all()

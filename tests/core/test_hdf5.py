@@ -218,6 +218,9 @@ def test_blosc_stored_and_refused():
     raw = bytes(range(100))
     head = lambda flags: bytes([2, 1, flags, 1]) + len(raw).to_bytes(4, "little") + (100).to_bytes(4, "little") + bytes(4)
     assert read._unpack(head(2) + raw, {"name": "numcodecs.blosc"}) == raw
+    for wrong in (b"", raw[:10], bytes(40)):
+        with pytest.raises(ValueError):
+            read._unpack(wrong, {"name": "numcodecs.blosc"})
     with pytest.raises(NotImplementedError):
         read._unpack(head(16) + (20).to_bytes(4, "little") + (5).to_bytes(4, "little") + raw[:5], {"name": "numcodecs.blosc"})
 
