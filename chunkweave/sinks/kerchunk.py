@@ -64,35 +64,51 @@ def _metadata(ds: VDataset) -> dict:
     return out
 
 
+def _loaded_refs(ds: VDataset) -> dict[str, str]:
+    return {f"{n}/{'.'.join(['0'] * v.values.ndim) or '0'}": "base64:" + base64.b64encode(encoded(v)[0].tobytes()).decode() for n, v in ds.loaded.items() if v.values.size}
+
+
 def refs_frame(ds: VDataset) -> DataFrame | None:
-    """key, value of all chunks: the document as a relation, for documents too large for a driver."""
+    """key, value of all chunks as a relation; None without virtual variables."""
     parts = [ref_rows(v, n) for n, v in ds.virtual.items()]
     spark = next((v.spark for v in ds.virtual.values()), None)
     if spark is None:
         return None
-    loaded = [(f"{n}/{'.'.join(['0'] * v.values.ndim) or '0'}", json.dumps("base64:" + base64.b64encode(encoded(v)[0].tobytes()).decode())) for n, v in ds.loaded.items() if v.values.size]
+    loaded = [(k, json.dumps(v)) for k, v in _loaded_refs(ds).items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.unionByName(spark.createDataFrame(loaded, "key string, value string")) if loaded else out
 
 
+def document_rows(ds: VDataset) -> DataFrame:
+    """key, value of the whole document, its metadata and its chunks; value is JSON text. Nothing of it passes the driver but metadata and loaded variables."""
+    rows = {k: json.dumps(v, separators=(",", ":")) for k, v in _metadata(ds).items()}
+    chunks = refs_frame(ds)
+    if chunks is None:
+        rows |= {k: json.dumps(v) for k, v in _loaded_refs(ds).items()}
+    out = _spark(ds).createDataFrame(list(rows.items()), "key string, value string")
+    return out if chunks is None else out.unionByName(chunks)
+
+
 def to_kerchunk(ds: VDataset, path: str | None = None, format: str = "dict", record_size: int = 100_000, categorical_threshold: int = 10):
-    """A document as dict, JSON file, or Parquet folder. ``categorical_threshold`` is taken for compatibility: Parquet encodes paths by dictionary itself."""
+    """A document as dict, JSON file, Parquet folder, or ``rows`` of a relation (:func:`document_rows`). ``categorical_threshold`` is taken for compatibility: Parquet encodes paths by dictionary itself."""
     if format == "json" and not path:
         raise ValueError("Filepath must be provided when format is 'json'")
     if format == "parquet":
         return _to_parquet(ds, path, record_size)
+    if format == "rows":
+        return document_rows(ds)
     if format not in ("dict", "json"):
         raise ValueError(f"Unrecognized output format: {format}")
     refs = {k: json.dumps(v, separators=(",", ":")) for k, v in _metadata(ds).items()}
     frame = refs_frame(ds)
     if frame is not None:
-        # a document is one file by its format: it must fit the driver; the Parquet layout needn't
+        # a document is one file by its format: it must fit the driver; the Parquet layout and the rows needn't
         for r in frame.orderBy("key").toLocalIterator():
             refs[r["key"]] = json.loads(r["value"])
     else:
-        refs |= {f"{n}/{'.'.join(['0'] * v.values.ndim) or '0'}": "base64:" + base64.b64encode(encoded(v)[0].tobytes()).decode() for n, v in ds.loaded.items() if v.values.size}
+        refs |= _loaded_refs(ds)
     document = {"version": 1, "refs": refs}
     if format == "dict":
         return document

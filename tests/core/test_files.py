@@ -96,6 +96,40 @@ def test_kerchunk_write(spark, ds, tmp_path):
         assert back.equals(ds) and back.attributes == {"title": "t"} and "lon" in back.coords
 
 
+def test_kerchunk_rows(spark, ds):
+    """The document as rows is the document, also without virtual variables."""
+    for given in (ds, VDataset({"time": ds["time"]}, attributes={"title": "t"})):
+        rows = given.to_kerchunk(format="rows").collect()
+        assert len(rows) == len({r["key"] for r in rows}) and {r["key"]: json.loads(r["value"]) for r in rows} == comparable(given.to_kerchunk())
+
+
+@pytest.fixture
+def to_driver(spark, monkeypatch):
+    """Rows that have come to the driver, one count a call."""
+    kind, counts = type(spark.range(0)), []
+    collect, iterate = kind.collect, kind.toLocalIterator
+
+    def collected(self):
+        counts.append(len(rows := collect(self)))
+        return rows
+
+    def iterated(self, *args, **kwargs):
+        rows = list(iterate(self, *args, **kwargs))
+        counts.append(len(rows))
+        return iter(rows)
+
+    monkeypatch.setattr(kind, "collect", collected)
+    monkeypatch.setattr(kind, "toLocalIterator", iterated)
+    return counts
+
+
+def test_kerchunk_metadata_stays_distributed(spark, to_driver):
+    from chunkweave.plans.catalogue import QUERIES
+
+    out = QUERIES["kerchunk_metadata"](spark, "/root/testdata/sf0.001")
+    assert sum(to_driver) <= 2 and out.first()["chunks"] > 1000
+
+
 def test_kerchunk_times(spark, tmp_path):
     t = np.array(["2000-01-01", "2000-01-02T12"], "datetime64[ns]")
     ds = VDataset({"time": Loaded(("time",), t, {}, {"units": "hours since 2000-01-01"})})
