@@ -14,7 +14,10 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import keys
 from .meta import ArrayMeta
 from .operators import combine
 from .varray import VArray
@@ -40,6 +43,10 @@ class Loaded:
         return self.values.nbytes
 
 
+def _names(names: list[str]) -> DataFrame:
+    return SparkSession.active().createDataFrame([(n,) for n in names], "key string")
+
+
 class VGroup:
     """Named arrays and sub-groups with attributes, as a parser finds them."""
 
@@ -82,8 +89,16 @@ class VGroup:
                 node = node.groups[p]
         return node
 
+    def listing(self, prefix: str) -> DataFrame:
+        """key: what :meth:`list_dir` lists, as a relation without order, whose chunk keys never pass the driver."""
+        node, rest = self.deepest(prefix)
+        if rest or isinstance(node, VGroup):
+            return _names([] if rest else ["zarr.json", *node])
+        chunk = F.concat(F.lit("c."), keys.format_key(F.col("idx"))) if node.ndim else F.lit("c")
+        return node.refs.select(chunk.alias("key")).unionByName(_names(["zarr.json"]))
+
     def list_dir(self, prefix: str) -> list[str]:
-        """Members of a group, or keys of an array's chunks, as a Zarr store lists them."""
+        """Members of a group, or keys of an array's chunks, as a Zarr store lists them, on the driver: for small arrays."""
         node, rest = self.deepest(prefix)
         if rest:
             return []

@@ -210,6 +210,21 @@ def test_zarr_folder_and_zip(spark, zarr_store, tmp_path):
         ZippedZarrParser().parse(f"file://{tmp_path}/bad.zip")
 
 
+def test_listing(spark, make):
+    """The relation lists what the driver's list does: chunks that are there, a group's members, nothing below a chunk."""
+    g = VGroup({"v": make((4, 30), (2, 2), present={"0.0", "1.10"}), "none": make((4,), (2,), present=set()), "scalar": make((), ()), "no_scalar": make((), (), present=set())}, {"sub": VGroup()})
+    for prefix in ("", "v", "none", "scalar", "no_scalar", "sub", "v/c.0.0", "nope"):
+        assert sorted(r["key"] for r in g.listing(prefix).collect()) == sorted(g.list_dir(prefix))
+    assert g.list_dir("v") == ["zarr.json", "c.0.0", "c.1.10"]
+
+
+def test_list_dir_stays_distributed(spark, to_driver):
+    from chunkweave.plans.catalogue import QUERIES
+
+    out = QUERIES["list_dir"](spark, "/root/testdata/sf0.001")
+    assert sum(to_driver) <= 2 and out.count() > 1000
+
+
 def test_zip_with_local_extras(tmp_path):
     from chunkweave.sources.zarr import data_offsets, zip_index
 
